@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import content_sort, fair_mix, line_windows, packing, url_rules
+from fieldloom.llm import content_sort, fair_mix, language, line_windows, lsh_forest, packing, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,19 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train_dictionaries(docs))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -31,14 +40,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train_from(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.plan_mix(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_url_filters, op4_exact_dedup, op6_best_fit_packing, op7_line_dedup, op9_source_mixing)
-}
+    for f in (
+        op2_url_filters, op3_minhash_near_dedup, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_line_dedup, op8_toxicity,
+        op9_source_mixing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": url_rules.SQL,

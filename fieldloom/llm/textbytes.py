@@ -63,22 +63,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of ``data[starts:ends]``; starts ascend."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    if not len(starts):
-        return out
-    cuts = np.searchsorted(starts, np.arange(0, int(starts[-1]) + SLICE, SLICE))
+def span_hash(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:
+    """64-bit content hashes of ``data[starts:ends]``; starts ascend. With several ``ends``, a list."""
+    out = [np.zeros(len(starts), dtype=np.uint64) for _ in ends]
+    cuts = np.searchsorted(starts, np.arange(0, int(starts[-1]) + SLICE, SLICE)) if len(starts) else []
     for a, b in zip(cuts, [*cuts[1:], len(starts)]):
         if a == b:
             continue
-        base, top = int(starts[a]), int(ends[a:b].max())
+        base, top = int(starts[a]), max(int(e[a:b].max()) for e in ends)
         power, inverse = _powers(top - base + 1)
         total = np.zeros(top - base + 1, dtype=np.uint64)
         np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=total[1:])
-        s, e = starts[a:b] - base, ends[a:b] - base
-        out[a:b] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * _C3)
-    return out
+        s = starts[a:b] - base
+        before, back = total[s], inverse[s]
+        for h, end in zip(out, ends):
+            e = end[a:b] - base
+            h[a:b] = mix((total[e] - before) * back + (e - s).astype(np.uint64) * _C3)
+    return out[0] if len(ends) == 1 else out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
