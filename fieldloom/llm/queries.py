@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import content_sort, fair_mix, language, line_windows, lsh_forest, packing, toxicity, url_rules
+from fieldloom.llm import content_sort, digests, fair_mix, language, line_windows, lsh_forest, packing, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,11 +49,18 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.plan_mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rank = digests.ranks(digests.level_counts(docs))
+    items = digests.fingerprint(_table(spark, sf_dir, "benchmark"), rank, id_col="item_id")
+    return digests.match(digests.fingerprint(docs, rank), items.withColumnRenamed("doc_id", "item_id"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_url_filters, op3_minhash_near_dedup, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_line_dedup, op8_toxicity,
-        op9_source_mixing,
+        op9_source_mixing, op10_document_fingerprints,
     )
 }
 
