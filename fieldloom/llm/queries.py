@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import content_sort, digests, fair_mix, language, line_windows, lsh_forest, packing, toxicity, url_rules
+from fieldloom.llm import content_sort, digests, fair_mix, language, line_windows, lsh_forest, packing, secrets, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_url_filters, op3_minhash_near_dedup, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_line_dedup, op8_toxicity,
+        op1_secret_scan, op2_url_filters, op3_minhash_near_dedup, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_line_dedup, op8_toxicity,
         op9_source_mixing, op10_document_fingerprints,
     )
 }
