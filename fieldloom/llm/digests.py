@@ -9,8 +9,8 @@ Bloom filters of ``BITS`` bits, ``PER_FILTER`` features each. Two digests are co
 bits their filters share, less what chance would give, over the most they could share.
 
 Entropies slide: a window's sum of c*log2(c) over its byte counts changes by what enters and
-what leaves, and how often a byte occurs in the 63 bytes before or after it is the number of
-equal bytes at distances 1 to 63, computed for all positions at once and shared by both.
+what leaves, and how often a byte occurs in the bytes of a window before or after it is the
+number of equal bytes at distances below ``WINDOW``, computed for all positions at once and shared by both.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.shared import cut
 from fieldloom.llm.textbytes import slices, span_hash
 
-WINDOW = 64
-FRAME = 64
-POINTS = 16
+WINDOW = 32
+FRAME = 32
+POINTS = 8
 BITS = 2048
 HASHES = 5
 PER_FILTER = 160
@@ -35,8 +35,11 @@ LOWEST = 100
 LEVELS = 1001
 #: Reference digests that one pass compares with; more take several passes.
 REFERENCE_BYTES = 8 << 20
-#: A digest of fewer features is not told from chance, as a full filter has a third of its bits set.
-LEAST_FEATURES = 4
+#: A digest of fewer features is not told from chance: a full filter has a third of its bits set,
+#: so one feature is found in it by chance once in 240 times, three once in 10**7.
+LEAST_FEATURES = 3
+#: Least overlap of a match: a copied passage has 1, or less where its features lie in two filters.
+MATCH = 0.9
 
 _SCALE = 1 << 16
 _C = np.arange(WINDOW + 1, dtype=np.float64)
@@ -91,7 +94,7 @@ def feature_hashes(data: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tupl
     own = np.where(whole, rank[level], 1023)
     key = (own.astype(wide) << shift) | np.arange(n, dtype=wide)
     low = key
-    for s in (1, 2, 4, 8, 16, 32):
+    for s in (1 << k for k in range(FRAME.bit_length() - 1)):  # FRAME is a power of two
         low = np.minimum(low[:-s], low[s:]) if len(low) > s else low[:0]
     length = np.diff(offs)
     room = np.repeat(offs[1:], length)[: len(low)] - np.arange(len(low)) >= FRAME - 1 + WINDOW
@@ -206,8 +209,8 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_
     return df.mapInArrow(run, f"doc_id {kind}, n_features int, digest binary")
 
 
-def match(digests: DataFrame, reference: DataFrame) -> DataFrame:
-    """``digests`` with ``nearest`` and ``overlap``: the most similar row of ``reference(item_id, n_features, digest)``.
+def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> DataFrame:
+    """``digests`` with ``overlap``, that with the most similar row of ``reference(item_id, n_features, digest)``, and ``nearest``, that row's identifier if the overlap is at least ``least``.
 
     Rows of either side with fewer than ``LEAST_FEATURES`` features aren't compared: their
     ``nearest`` and ``overlap`` are null, as they are if the reference has no other rows. Ties
@@ -232,7 +235,7 @@ def match(digests: DataFrame, reference: DataFrame) -> DataFrame:
                     some = batch.slice(lo, 256)
                     own = [d if n >= LEAST_FEATURES else b"" for n, d in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
                     place, score = best_matches(own, known)
-                    near = pa.array([items[p] if p >= 0 else None for p in place], pa.int64())
+                    near = pa.array([items[p] if p >= 0 and x >= least else None for p, x in zip(place, score)], pa.int64())
                     yield pa.RecordBatch.from_arrays([*some.columns, near, pa.array(np.where(place < 0, np.nan, score), from_pandas=True)], [*some.schema.names, "nearest", "overlap"])
 
         extra = ", __row bigint" if parts > 1 else ""
@@ -243,5 +246,5 @@ def match(digests: DataFrame, reference: DataFrame) -> DataFrame:
     every = one(0)
     for p in range(1, parts):
         every = every.unionByName(one(p))
-    best = F.max_by(F.struct("doc_id", "n_features", "digest", "nearest", "overlap"), F.struct(F.coalesce("overlap", F.lit(-1.0)), -F.coalesce("nearest", F.lit(0))))
+    best = F.max_by(F.struct("doc_id", "n_features", "digest", "nearest", "overlap"), F.struct(F.coalesce("overlap", F.lit(-1.0)), F.coalesce(-F.col("nearest"), F.lit(-(1 << 62)))))
     return every.groupBy("__row").agg(best.alias("b")).select("b.*")
