@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 #: What Python's str.split and str.strip call blank.
@@ -66,7 +67,7 @@ def document_label(source: Column, doc_id: Column) -> Column:
     return or_default(source, or_default(doc_id, "unknown"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility composition, which Spark has no function for."""
     for s in batches:

@@ -65,11 +65,13 @@ def field_statistics(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     if not fields:
         return records.sparkSession.createDataFrame([], "field string, n_values bigint, n_unique bigint, unique_ratio double, mean_length double")
-    arrays = [
-        F.transform(F.col(f"`{f}`").cast("array<string>") if isinstance(records.schema[f].dataType, T.ArrayType) else F.array(F.col(f"`{f}`").cast("string")), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value")))
-        for f in fields
-    ]
-    every = [F.coalesce(a, F.array().cast(T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())])))) for a in arrays]
+
+    def rows_of(f: str) -> Column:
+        c = F.col(f"`{f}`")
+        values = c.cast("array<string>") if isinstance(records.schema[f].dataType, T.ArrayType) else F.array(c.cast("string"))
+        return F.transform(values, lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
+
+    every = [F.coalesce(a, F.array().cast(T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())])))) for a in map(rows_of, fields)]
     values = records.select(F.inline(F.flatten(F.array(*every)))).where("value IS NOT NULL")
     by_value = values.groupBy("field", "value").agg(F.count("*").alias("n"))
     stats = by_value.groupBy("field").agg(

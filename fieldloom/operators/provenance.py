@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.text import EDGES, strip_blank
 
@@ -61,7 +62,7 @@ def exact_span(quote: Column, content: Column) -> Column:
     )
 
 
-@F.pandas_udf(SPAN_TYPE)
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("confidence", T.StringType())]))
 def _loose(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for quotes, texts in batches:
         found = [find_loosely(q.strip(EDGES), t or "") for q, t in zip(quotes, texts)]

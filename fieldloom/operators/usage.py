@@ -12,11 +12,24 @@ from fieldloom.functions.jsonschema import leaf_fields
 from fieldloom.functions.text import tokens
 from fieldloom.operators.chunking import estimate_chunks
 
+_PRICE_LIST = """
+gpt-4o                     2.5   10
+gpt-4o-mini                0.15  0.6
+gpt-4.1                    2     8
+gpt-4.1-mini               0.4   1.6
+gpt-4.1-nano               0.1   0.4
+gpt-5.4                    2.5   10
+gpt-5.4-mini               0.15  0.6
+o3-mini                    1.1   4.4
+claude-sonnet-4-6          3     15
+claude-haiku-4-5           0.8   4
+claude-haiku-4-5-20251001  0.8   4
+mistral-small-latest       0.1   0.3
+text-embedding-3-small     0.02  0
+text-embedding-3-large     0.13  0
+"""
 #: USD for a million input and output tokens.
-PRICES: dict[str, tuple[float, float]] = {
-    "gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60), "gpt-4.1": (2.00, 8.00), "gpt-4.1-mini": (0.40, 1.60), "gpt-4.1-nano": (0.10, 0.40),
-    "o3-mini": (1.10, 4.40), "text-embedding-3-small": (0.02, 0.0), "text-embedding-3-large": (0.13, 0.0),
-}
+PRICES: dict[str, tuple[float, float]] = {m: (float(i), float(o)) for m, i, o in (line.split() for line in _PRICE_LIST.strip().splitlines())}
 
 
 def price_table(spark: SparkSession, pricing: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
