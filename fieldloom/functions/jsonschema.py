@@ -93,15 +93,9 @@ def required(schema: dict[str, Any]) -> list[str]:
 
 
 def string_fields(schema: dict[str, Any]) -> list[str]:
-    """Fields of strings, or of arrays of them, by their resolved type."""
-    out = []
-    for name, prop in resolve_refs(schema).get("properties", {}).items():
-        p = _resolved(prop)
-        if p.get("type") == "array":
-            p = _resolved(p.get("items") or {})
-        if p.get("type") == "string":
-            out.append(name)
-    return out
+    """Fields of strings, or of arrays of them, by the type they are read as."""
+    kinds = {name: spark_type(prop) for name, prop in resolve_refs(schema).get("properties", {}).items()}
+    return [k for k, t in kinds.items() if isinstance(t.elementType if isinstance(t, T.ArrayType) else t, T.StringType)]
 
 
 def leaf_fields(schema: dict[str, Any]) -> int:

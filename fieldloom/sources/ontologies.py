@@ -19,7 +19,7 @@ class CSVSource:
         df = spark.read.csv(self.path, header=True, multiLine=True, escape='"')
         if not {"id", "name"} <= set(df.columns):
             raise ValueError(f"{self.path}: the columns id and name are needed, there are {', '.join(df.columns)}")
-        syn = F.filter(F.transform(F.split(F.col("synonyms"), ";"), F.trim), lambda x: x != "") if "synonyms" in df.columns else F.array().cast("array<string>")
+        syn = F.filter(F.transform(F.split(F.col("synonyms"), ";"), lambda x: F.trim(x)), lambda x: x != "") if "synonyms" in df.columns else F.array().cast("array<string>")
         return df.select("id", "name", F.coalesce(syn, F.array().cast("array<string>")).alias("synonyms"))
 
 
