@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct
 
 #: Distinct values of one field that hierarchical clustering takes: its distance matrix grows with their square.
 LARGEST = 8000
+#: Points of one side of a block of pairs.
+PAIR_BLOCK = 512
 
 
 def mode_canonical(members: DataFrame) -> DataFrame:
@@ -51,12 +54,38 @@ def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame) -> DataFrame:
     """``(id, silhouette)`` for ``points(id, v, k)`` by Euclidean distance; a cluster of one point scores 0.
 
-    All pairs meet: for samples of values, not for a corpus.
+    All pairs meet, as matrix products of blocks of about ``PAIR_BLOCK`` points: what a pair of
+    blocks sends on is a sum for each point and cluster, not its distances.
     """
-    a = points.select("id", "k", doubles(F.col("v")).alias("v"))
-    b = points.select(F.col("id").alias("id2"), F.col("k").alias("k2"), doubles(F.col("v")).alias("v2"))
-    pairs = a.crossJoin(b).where("id <> id2").select("id", "k", "k2", F.sqrt(squared_distance(F.col("v"), F.col("v2"))).alias("d"))
-    means = pairs.groupBy("id", "k", "k2").agg(F.avg("d").alias("m"))
+    blocks = max(1, -(-points.count() // PAIR_BLOCK))
+    kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    packed = points.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.struct("id", "k", doubles(F.col("v")).alias("v")).alias("p")).groupBy("b").agg(F.collect_list("p").alias("p"))
+    pairs = packed.crossJoin(packed.select(F.col("b").alias("b2"), F.col("p").alias("p2"))).repartition("b", "b2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = batch.column("p")[i].values, batch.column("p2")[i].values
+                x, y = (np.array(side.field("v").to_pylist(), dtype=np.float64) for side in (left, right))
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :], 0))
+                if batch.column("b")[i].as_py() == batch.column("b2")[i].as_py():
+                    np.fill_diagonal(d, 0)
+                clusters = right.field("k").to_pylist()
+                names = list(dict.fromkeys(clusters))
+                member = np.array([[c == n for n in names] for c in clusters], dtype=np.float64)
+                n = len(left)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([left.field("id")] * len(names)), pa.concat_arrays([left.field("k")] * len(names)),
+                        pa.array([c for c in names for _ in range(n)], left.field("k").type), pa.array((d @ member).T.ravel()), pa.array(np.repeat(member.sum(0), n)),
+                    ],
+                    ["id", "k", "k2", "s", "n"],
+                )
+
+    parts = pairs.select("b", "p", "b2", "p2").mapInArrow(run, f"id {kind['id']}, k {kind['k']}, k2 {kind['k']}, s double, n double")
+    sums = parts.groupBy("id", "k", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    others = F.when(F.col("k") == F.col("k2"), F.col("n") - 1).otherwise(F.col("n"))
+    means = sums.withColumn("m", F.when(others > 0, F.col("s") / others))
     both = means.groupBy("id").agg(F.max(F.when(F.col("k") == F.col("k2"), F.col("m"))).alias("a"), F.min(F.when(F.col("k") != F.col("k2"), F.col("m"))).alias("b"))
     s = (F.col("b") - F.col("a")) / F.greatest("a", "b")
     return both.select("id", F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.when(F.greatest("a", "b") == 0, 0.0).otherwise(s)), F.lit(0.0)).alias("silhouette"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions.text import EDGES, strip_blank
 
+#: Characters of the quotes that one pass looks for.
+QUOTE_CHARS = 4 << 20
 SPAN_TYPE = "struct<start:int,end:int,confidence:string>"
 
 
@@ -83,18 +87,52 @@ def locate(quotes: DataFrame) -> DataFrame:
     return hit.unionByName(miss).select(*quotes.columns, "__s.start", "__s.end", "__s.confidence")
 
 
+def _first_places(quotes: list[str]):
+    """For each quote of some documents the first of them that holds it: one pass over a text finds all quotes."""
+    automaton = ahocorasick.Automaton()
+    for q in quotes:
+        automaton.add_word(q, q)
+    automaton.make_automaton()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[int, str | None, int]] = {}
+        for batch in batches:
+            for order, doc, content in zip(*(c.to_pylist() for c in batch.columns)):
+                seen = set()
+                for end, q in automaton.iter(content) if content and order is not None else ():
+                    if q not in seen:
+                        seen.add(q)
+                        if q not in best or order < best[q][0]:
+                            best[q] = (order, doc, end + 1 - len(q))
+        rows = list(best.items())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([q for q, _ in rows], pa.string()), *[pa.array([x[i] for _, x in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32()))]], ["__q", "doc_ord", "doc_id", "start"]
+        )
+
+    return run
+
+
 def locate_across(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """``quotes(quote)`` found in the first document (by ``doc_ord``) that holds them exactly; ``doc_id`` is null for none.
 
-    A search for substrings has no equality to join on: every quote meets every document,
-    documents stay where they are and quotes are the side that is sent around.
+    Substrings have no equality to join on, so the quotes travel to the documents as one
+    automaton that finds all of them in a single pass over each text. Quotes of more than
+    ``QUOTE_CHARS`` characters together go in several passes, each of about that many.
     """
     q = quotes.select("quote", bare(F.col("quote")).alias("__q")).where("__q <> ''").distinct()
-    place = F.call_function("instr", F.col("content"), F.col("__q"))
-    hits = docs.select("doc_ord", "doc_id", "content").join(q, place > 0).groupBy("quote").agg(
-        F.min_by(F.struct("doc_id", (place - 1).alias("start"), (place - 1 + F.length("__q")).alias("end")), "doc_ord").alias("h")
-    )
-    return quotes.join(hits, "quote", "left").select(*quotes.columns, "h.doc_id", "h.start", "h.end")
+    parts = max(1, -(-int(q.agg(F.sum(F.length("__q"))).first()[0] or 0) // QUOTE_CHARS))
+    found = None
+    for p in range(parts):
+        mine = [r[0] for r in q.where(F.pmod(F.xxhash64("__q"), F.lit(parts)) == p).select("__q").distinct().collect()]  # about QUOTE_CHARS
+        if mine:
+            one = docs.select(F.col("doc_ord").cast("bigint"), F.col("doc_id").cast("string"), "content").mapInArrow(_first_places(mine), "__q string, doc_ord bigint, doc_id string, start int")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        none = F.lit(None)
+        return quotes.select("*", none.cast("string").alias("doc_id"), none.cast("int").alias("start"), none.cast("int").alias("end"))
+    first = found.groupBy("__q").agg(F.min_by(F.struct("doc_id", "start"), "doc_ord").alias("h"))
+    hits = q.join(first, "__q").select("quote", "h.doc_id", "h.start", (F.col("h.start") + F.length("__q")).alias("end"))
+    return quotes.join(hits, "quote", "left").select(*quotes.columns, "doc_id", "start", "end")
 
 
 def merge_spans(a: Column, b: Column) -> Column:

@@ -117,6 +117,15 @@ def test_quotes_across_documents(spark):
     assert [(r.doc_id, r.start, r.end) for r in got] == [("doc_1", 2, 7), (None, None, None)]
 
 
+def test_quotes_in_several_passes(spark, monkeypatch):
+    docs = from_strings(spark, ["öne two three", "two three four", None, "four"])
+    quotes = spark.createDataFrame([(q,) for q in ("two", "two three", "three four", "four", "ne", "", None, "zz")], "quote string")
+    monkeypatch.setattr(provenance, "QUOTE_CHARS", 8)
+    got = {r.quote: (r.doc_id, r.start, r.end) for r in provenance.locate_across(quotes, docs).collect()}
+    none = (None, None, None)
+    assert got == {"two": ("doc_0", 4, 7), "two three": ("doc_0", 4, 13), "three four": ("doc_1", 4, 14), "four": ("doc_1", 10, 14), "ne": ("doc_0", 1, 3), "": none, None: none, "zz": none}
+
+
 def test_span_union(spark):
     a, b = [("q", "d", 0, 1, "exact")] * 2, [("q", "d", 0, 1, "exact"), ("r", "d", 2, 3, "fuzzy"), ("r", "d", 2, 3, "fuzzy")]
     df = spark.createDataFrame([(a, b), (None, b), (a, None)], f"a {SPANS}, b {SPANS}").select(provenance.merge_spans(F.col("a"), F.col("b")).alias("m"))

@@ -166,6 +166,15 @@ def test_k_means_steps(spark):
     assert np.mean([r.silhouette for r in s]) == pytest.approx(clustering.silhouette_score(x, np.array([0, 0, 0, 1])))
 
 
+def test_silhouette_blocks(spark, monkeypatch):
+    x, y = blobs()
+    pts = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))] + [(99, [5.0, 5.0, 5.0], 9)], "id int, v array<double>, k int")
+    monkeypatch.setattr(clustering, "PAIR_BLOCK", 7)
+    got = as_dict(clustering.silhouette(pts), "id", "silhouette")
+    assert len(got) == 46 and got[99] == 0.0
+    assert sum(got.values()) / 46 == pytest.approx(clustering.silhouette_score(np.vstack([x, [[5, 5, 5]]]), np.append(y, 9)))
+
+
 def test_mode_names(spark):
     rows = spark.createDataFrame([(0, "NY", 1, 0), (0, "New York", 5, 1), (0, "NYC", 5, 2), (-1, "p", 9, 3), (-1, "q", 1, 4)], "label int, value string, freq int, first_ord int")
     assert as_dict(clustering.mode_canonical(rows), "value") == {"NY": "New York", "New York": "New York", "NYC": "New York", "p": "p", "q": "q"}
