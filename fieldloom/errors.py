@@ -32,6 +32,6 @@ class ProviderError(FieldloomError):
 class BudgetExceededError(FieldloomError):
     """Spending passed the limit."""
 
-    def __init__(self, spent: float, limit: float):
+    def __init__(self, spent, limit):
         super().__init__(f"spent {spent:.4f} of a limit of {limit:.4f} USD")
         self.spent, self.limit = spent, limit

@@ -14,10 +14,17 @@ from fieldloom.functions.plain import strip_fences
 _SCALARS = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
 _NAMES = {v: k for k, v in _SCALARS.items()}
 DEEPEST = 10
+Json = dict[str, Any]
 WRAPPED = "x-with-sources"
 
 
-def resolve_refs(schema: dict[str, Any]) -> dict[str, Any]:
+def object_of(*required: str, **fields: str | Json) -> Json:
+    """A schema of an object: fields by type name or by schema."""
+    out: Json = dict(type="object", properties={k: dict(type=v) if isinstance(v, str) else v for k, v in fields.items()})
+    return out | {"required": list(required)} if required else out
+
+
+def resolve_refs(schema: Json) -> Json:
     """The schema with local references put in place; cycles, unknown ones and deep ones become free objects."""
     known = {**schema.get("definitions", {}), **schema.get("$defs", {})}
 
@@ -37,7 +44,7 @@ def resolve_refs(schema: dict[str, Any]) -> dict[str, Any]:
     return visit(schema, ())
 
 
-def _resolved(prop: dict[str, Any]) -> dict[str, Any]:
+def _resolved(prop: Json) -> Json:
     """The first branch of a union that isn't null; a string if all are."""
     for key in ("anyOf", "oneOf"):
         if prop.get(key):
@@ -49,7 +56,7 @@ def _resolved(prop: dict[str, Any]) -> dict[str, Any]:
     return prop
 
 
-def spark_type(prop: dict[str, Any]) -> T.DataType:
+def spark_type(prop: Json) -> T.DataType:
     p = _resolved(prop)
     kind = p.get("type")
     if "enum" in p:
@@ -63,7 +70,7 @@ def spark_type(prop: dict[str, Any]) -> T.DataType:
     return _SCALARS.get(kind, T.StringType())
 
 
-def to_struct(schema: dict[str, Any]) -> T.StructType:
+def to_struct(schema: Json) -> T.StructType:
     """All fields are nullable: that a field is required only means that its key must be there."""
     flat = resolve_refs(schema)
     if not flat.get("properties"):
@@ -71,12 +78,12 @@ def to_struct(schema: dict[str, Any]) -> T.StructType:
     return T.StructType([T.StructField(k, spark_type(v)) for k, v in flat["properties"].items()])
 
 
-def from_struct(struct: T.StructType) -> dict[str, Any]:
-    def one(t: T.DataType) -> dict[str, Any]:
+def from_struct(struct: T.StructType) -> Json:
+    def one(t: T.DataType) -> Json:
         if isinstance(t, T.ArrayType):
             return {"type": "array", "items": one(t.elementType)}
         if isinstance(t, T.StructType):
-            return {"type": "object", "properties": {f.name: one(f.dataType) for f in t.fields}}
+            return dict(type="object", properties={f.name: one(f.dataType) for f in t.fields})
         if isinstance(t, T.MapType):
             return {"type": "object"}
         if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -85,22 +92,22 @@ def from_struct(struct: T.StructType) -> dict[str, Any]:
             return {"type": "number"}
         return {"type": _NAMES.get(t, "string")}
 
-    return {"type": "object", "properties": {f.name: one(f.dataType) for f in struct.fields}, "required": sorted(f.name for f in struct.fields if not f.nullable)}
+    return object_of(**{f.name: one(f.dataType) for f in struct.fields}) | {"required": sorted(f.name for f in struct.fields if not f.nullable)}
 
 
-def required(schema: dict[str, Any]) -> list[str]:
+def required(schema: Json) -> list[str]:
     return [k for k in schema.get("required", []) if k in schema.get("properties", {})]
 
 
-def string_fields(schema: dict[str, Any]) -> list[str]:
+def string_fields(schema: Json) -> list[str]:
     """Fields of strings, or of arrays of them, by the type they are read as."""
     kinds = {name: spark_type(prop) for name, prop in resolve_refs(schema).get("properties", {}).items()}
     return [k for k, t in kinds.items() if isinstance(t.elementType if isinstance(t, T.ArrayType) else t, T.StringType)]
 
 
-def leaf_fields(schema: dict[str, Any]) -> int:
+def leaf_fields(schema: Json) -> int:
     """Scalars, and arrays of scalars, in the schema; 1 without properties."""
-    def count(p: dict[str, Any]) -> int:
+    def count(p: Json) -> int:
         p = _resolved(p)
         if p.get("type") == "array":
             inner = _resolved(p.get("items") or {})
@@ -113,7 +120,7 @@ def leaf_fields(schema: dict[str, Any]) -> int:
     return sum(count(v) for v in props.values()) if props else 1
 
 
-def parse_schema(reply: str) -> dict[str, Any]:
+def parse_schema(reply: str) -> Json:
     """A schema from a model's reply: fenced or not, bare or as the one value that has properties."""
     try:
         found = json.loads(strip_fences(reply))
@@ -128,7 +135,7 @@ def parse_schema(reply: str) -> dict[str, Any]:
     return {"type": "object", **found}
 
 
-def apply_changes(schema: dict[str, Any], changes: dict[str, Any], strictly_additive: bool = False) -> dict[str, Any]:
+def apply_changes(schema: Json, changes: Json, strictly_additive: bool = False) -> Json:
     """Add missing fields, then (unless additive) remove and shallowly modify; never leaves a schema without fields."""
     out = copy.deepcopy(schema)
     props = out.setdefault("properties", {})
@@ -149,17 +156,17 @@ def apply_changes(schema: dict[str, Any], changes: dict[str, Any], strictly_addi
     return out
 
 
-def with_sources(schema: dict[str, Any]) -> dict[str, Any]:
+def with_sources(schema: Json) -> Json:
     """The schema whose fields carry a value and the quotes it was taken from; doing it twice changes nothing."""
     props = schema.get("properties")
     if schema.get("type") != "object" or not props or schema.get(WRAPPED):
         return schema
-    quotes = {"type": "array", "items": {"type": "string"}}
-    wrapped = {k: {"type": "object", "properties": {"value": v, "source_quotes": quotes}, "required": ["value", "source_quotes"]} for k, v in props.items()}
+    quotes = dict(type="array", items=dict(type="string"))
+    wrapped = {k: object_of("value", "source_quotes", value=v, source_quotes=quotes) for k, v in props.items()}
     return {**schema, "properties": wrapped, WRAPPED: True}
 
 
-def without_sources(record: dict[str, Any]) -> tuple[dict[str, Any], dict[str, list[str]]]:
+def without_sources(record: Json) -> tuple[Json, dict[str, list[str]]]:
     """Values and quotes of a record of ``with_sources``; fields that aren't wrapped pass as they are."""
     values, quotes = {}, {}
     for k, v in record.items():
@@ -172,6 +179,6 @@ def without_sources(record: dict[str, Any]) -> tuple[dict[str, Any], dict[str, l
     return values, quotes
 
 
-def diff(a: dict[str, Any], b: dict[str, Any]) -> dict[str, list[str]]:
+def diff(a: Json, b: Json) -> dict[str, list[str]]:
     x, y = a.get("properties", {}), b.get("properties", {})
     return {"added": sorted(y.keys() - x.keys()), "removed": sorted(x.keys() - y.keys()), "changed": sorted(k for k in x.keys() & y.keys() if x[k] != y[k])}

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 #: What Python's str.split and str.strip call blank.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-EDGES = " \t\n\r.,;:!?\"'`()[]{}<>—–-"
+EDGES = " \t\n\r" + "-–—" + "".join(chr(c) for c in range(33, 127) if chr(c) in "!'(),.:;<>?[]`{}" or c == 34)
 
 
 def strip_blank(c: Column) -> Column:

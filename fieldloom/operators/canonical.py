@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.errors import ProviderError
 from fieldloom.functions.plain import strip_fences
 from fieldloom.functions.text import sanitize, strip_blank
+from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.mapping import frequencies
 from fieldloom.providers import LLMClient
 
@@ -146,9 +147,9 @@ class LLMCanonicalization:
         numbered = clean.select("value", rank.alias("r")).withColumn("batch", F.floor(F.col("r") / size))
         batches = numbered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "value"))).alias("v")).select("batch", F.col("v.value").alias("values"))
         groups = self._call(batches.repartition("batch"), context_field)
-        groups = groups.persist()  # each model call is made once
+        groups = cut(groups)  # each model call is made once
         if n > self.max_values_per_prompt:
-            groups = merge_groups(groups).persist()
+            groups = merge_groups(groups)
             for _ in range(self.rounds if self.hierarchical_merge else 0):
                 names = groups.select("ord", "canonical")
                 count = names.count()
@@ -156,8 +157,8 @@ class LLMCanonicalization:
                     break
                 ranked = names.withColumn("r", F.row_number().over(Window.orderBy("ord")) - 1).withColumn("batch", F.floor(F.col("r") / self.max_values_per_prompt))
                 again = ranked.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "canonical"))).alias("v")).select("batch", F.col("v.canonical").alias("values"))
-                instructions = self._call(again, context_field).where(F.size("members") > 1).select("ord", "canonical", F.col("members").alias("merge")).persist()
-                groups = merge_groups(merge_by_instructions(groups, instructions)).persist()
+                instructions = self._call(again, context_field).where(F.size("members") > 1).select("ord", "canonical", F.col("members").alias("merge"))
+                groups = merge_groups(merge_by_instructions(groups, cut(instructions)))
                 if groups.count() >= count:
                     break
         return to_mapping(groups, values, context_field)

@@ -28,7 +28,8 @@ class CascadeNormalization:
     materialize: object = field(default=None, repr=False)
 
     def __post_init__(self):
-        if self.confidence_thresholds is not None and len(self.confidence_thresholds) != len(self.steps):
+        limits = self.confidence_thresholds
+        if limits is not None and len(limits) - len(self.steps):
             raise ValueError("as many thresholds as steps are needed")
 
     def normalize(self, values: DataFrame, context_field: str = "") -> DataFrame:

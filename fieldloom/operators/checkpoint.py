@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import tempfile
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,27 @@ from pyspark.sql import functions as F
 from fieldloom.schemas import Schema
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the session; one of our own only where none is set, and only on one machine."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the shared folder from here on, so that no lost executor makes a model answer twice."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def unprocessed(docs: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents whose identifier isn't among ``processed(doc_id)``; a missing one counts as empty text."""
     done = processed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__done")).distinct()
@@ -32,7 +54,7 @@ class Checkpoint:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def save_schema(self, schema: Schema) -> None:
-        text = json.dumps({"json_schema": schema.json_schema, "field_metadata": schema.field_metadata, "lineage": schema.lineage})
+        text = json.dumps(asdict(schema))
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
 
     def load_schema(self) -> Schema | None:

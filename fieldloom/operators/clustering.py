@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.errors import NormalizationError
 from fieldloom.functions.vectors import doubles, squared_distance
+from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.mapping import frequencies
 from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct
 
@@ -306,7 +307,8 @@ class KLLMeansClustering:
         few = [r.value for r in freq.orderBy("first_ord", "value").limit(3).collect()]
         if len(few) <= 2:
             return self._result(freq.select("value", F.col("value").alias("canonical"), F.lit(None).cast("int").alias("k")), context_field)
-        points = freq.join(embed_distinct(freq, self.embeddings, "value"), "value").select(F.col("value").alias("id"), "freq", F.coalesce("first_ord", F.lit(0)).alias("first_ord"), doubles(F.col("embedding")).alias("v")).persist()
+        points = freq.join(embed_distinct(freq, self.embeddings, "value"), "value").select(F.col("value").alias("id"), "freq", F.coalesce("first_ord", F.lit(0)).alias("first_ord"), doubles(F.col("embedding")).alias("v"))
+        points = cut(points)
         some = points.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.SAMPLE).select("v").toPandas()
         x = np.asarray(some.v.tolist(), dtype=np.float64)
         k = min(self.num_clusters or auto_k(x, self.seed), len(x))

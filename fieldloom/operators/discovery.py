@@ -13,6 +13,7 @@ from fieldloom.errors import DiscoveryError
 from fieldloom.functions import jsonschema
 from fieldloom.functions.plain import parse_object
 from fieldloom.functions.text import or_default, truncate
+from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.extraction import LLMDirectExtraction
 from fieldloom.operators.profile import coverage, coverage_listing, gaps, head, sample
 from fieldloom.providers import LLMClient
@@ -21,7 +22,7 @@ from fieldloom.schemas import Schema
 
 def field_lines_rule(prompt: str) -> str:
     """An offline model for discovery: a schema of the ``key: value`` lines in the prompt's documents."""
-    props: dict[str, dict[str, str]] = {}
+    props = {}
     for line in prompt.split("\n"):
         key, sep, value = line.partition(":")
         name = key.strip().lower().replace(" ", "_")
@@ -31,7 +32,7 @@ def field_lines_rule(prompt: str) -> str:
         kind = "integer" if v.lstrip("-").isdigit() else "number" if v.replace(".", "", 1).lstrip("-").isdigit() else "boolean" if v.lower() in ("true", "false") else "string"
         old = props.get(name, {}).get("type", kind)
         props[name] = {"type": kind if old == kind else "number" if {old, kind} == {"integer", "number"} else "string"}
-    return json.dumps({"type": "object", "properties": props})
+    return json.dumps(dict(type="object", properties=props))
 
 
 def field_lines_extract(prompt: str) -> str:
@@ -104,8 +105,7 @@ class ThreeStageDiscovery:
     reports: dict[str, Any] = field(default_factory=dict)
 
     def _refined(self, schema: dict, docs: DataFrame, additive: bool, stage: int) -> tuple[dict, DataFrame]:
-        records = probe(docs, schema, self.client)
-        records = records.persist()
+        records = cut(probe(docs, schema, self.client))
         found = coverage(records, list(schema["properties"]))
         lines = [r.line for r in coverage_listing(found).collect()]
         shown = [r.asDict(True) for r in records.orderBy("doc_ord").limit(3).collect()]
@@ -120,7 +120,7 @@ class ThreeStageDiscovery:
     def discover(self, docs: DataFrame, domain_hint: str = "") -> Schema:
         docs = _with_ids(docs, "_discovery_doc_")
         first = SinglePassDiscovery(self.client, self.stage1_samples, self.max_doc_chars, seed=self.seed).discover(docs, domain_hint)
-        some = sample(docs, self.stage2_samples, self.seed).persist()
+        some = cut(sample(docs, self.stage2_samples, self.seed))
         schema, _ = self._refined(first.json_schema, some, some.count() < self.min_samples_for_removal, 2)
         lineage = ["ThreeStageDiscovery:stage1", "ThreeStageDiscovery:stage2"]
         if not self.human_review:
@@ -158,6 +158,9 @@ class SchemaOptimizer:
         return Schema(schema.json_schema, metadata, lineage)
 
 
+EDITS = ("add_fields", "remove_fields", "modify_fields")
+
+
 @dataclass
 class SchemaFeedback:
     """Edits of a schema: explicit ones, and an instruction that a model turns into edits."""
@@ -177,8 +180,8 @@ def refine_schema(schema: Schema, feedback: SchemaFeedback, client: LLMClient |
         prompt = f"Reply with add_fields, remove_fields, modify_fields as JSON. {feedback.instruction}\n{json.dumps(out)}"
         out = jsonschema.apply_changes(out, parse_object(client.complete([{"role": "user", "content": prompt}]).content))
         lineage.append("refine:instruction")
-    if feedback.add_fields or feedback.remove_fields or feedback.modify_fields:
-        out = jsonschema.apply_changes(out, {"add_fields": feedback.add_fields, "remove_fields": feedback.remove_fields, "modify_fields": feedback.modify_fields})
+    if any(getattr(feedback, k) for k in EDITS):
+        out = jsonschema.apply_changes(out, {k: getattr(feedback, k) for k in EDITS})
         lineage.append("refine:explicit")
     if len(lineage) == len(schema.lineage):
         lineage.append("refine:noop")
@@ -211,5 +214,3 @@ class LLMFieldSelector:
         prompt = "Which fields hold spellings of the same things? Reply with a JSON list of names." + "".join(f"\n{f}: {', '.join(known.get(f, [])[: self.shown])}" for f in fields)
         return choose_fields(self.client.complete([{"role": "user", "content": prompt}]).content, fields)
 
-
-__all__ = ["LLMFieldSelector", "SchemaFeedback", "SchemaOptimizer", "SinglePassDiscovery", "ThreeStageDiscovery", "choose_fields", "refine_schema"]

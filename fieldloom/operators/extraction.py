@@ -142,7 +142,7 @@ class LLMDirectExtraction:
                     break
                 except ValueError as e:
                     said, kind = str(e), "ExtractionError"
-                    messages = [messages[0], {"role": "assistant", "content": r.content}, {"role": "user", "content": f"That can't be used ({e}). Reply again with JSON only.\n{messages[0]['content']}"}]
+                    messages = [messages[0], dict(role="assistant", content=r.content), dict(role="user", content=f"That can't be used ({e}). Reply again with JSON only.\n{messages[0]['content']}")]
                     continue
                 rows = []
                 for k, (values, quotes) in enumerate(found):

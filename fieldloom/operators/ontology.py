@@ -77,6 +77,12 @@ def search(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataFrame:
     return _best(scored, top_k)
 
 
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """As a column; 1 for a zero vector."""
+    n = np.sqrt((rows**2).sum(axis=1))[:, None]
+    return np.where(n == 0, 1, n)
+
+
 def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataFrame:
     """As ``search``, as matrix products in Arrow batches against parts of at most ``INDEX_ROWS`` index texts."""
     total = index.count()
@@ -89,7 +95,7 @@ def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataF
         if not len(mine):
             continue
         m = np.asarray(mine.embedding.tolist(), dtype=np.float64)
-        m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+        m /= _lengths(m)
         ids, names, ords = mine.id.tolist(), mine.name.tolist(), mine.text_ord.tolist()
 
         def run(batches: Iterator[pd.DataFrame], m=m, ids=ids, names=names, ords=ords) -> Iterator[pd.DataFrame]:
@@ -98,7 +104,7 @@ def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataF
                 for a in range(0, len(pdf), 256):
                     some = pdf.iloc[a : a + 256]
                     q = np.asarray(some.embedding.tolist(), dtype=np.float64)
-                    q /= np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, n)
+                    q /= _lengths(q)
                     s = q @ m.T
                     # Ties at the edge are settled by index order, so the cut keeps all of them.
                     edge = np.partition(s, -keep, axis=1)[:, -keep] if keep < len(ids) else s.min(axis=1)

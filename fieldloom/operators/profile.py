@@ -14,7 +14,7 @@ from fieldloom.functions.jsonschema import string_fields
 from fieldloom.operators.mapping import values_of
 
 LOW = 0.8
-EXCLUDED = ("description", "text", "content", "summary", "note", "comment", "id", "url", "email", "name", "title")
+EXCLUDED = tuple("comment content description email id name note summary text title url".split())
 
 
 def coverage(records: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -19,12 +19,12 @@ QUOTE_CHARS = 4 << 20
 SPAN_TYPE = "struct<start:int,end:int,confidence:string>"
 
 
-def fold_with_places(text: str) -> tuple[str, list[int]]:
+def fold_with_places(body):
     """Text composed, lower-cased, with single blanks, and for each of its characters where it came from."""
     out: list[str] = []
     places: list[int] = []
     blank = False
-    for i, ch in enumerate(text):
+    for i, ch in enumerate(body):
         for c in unicodedata.normalize("NFKC", ch).lower():
             if c.isspace():
                 if not blank:

@@ -33,8 +33,9 @@ def diff_fields(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def auto_name(schema: Schema) -> str:
-    if schema.lineage:
-        return schema.lineage[0].split(":")[0].lower()
+    head = next(iter(schema.lineage), "")
+    if head:
+        return head.lower().partition(":")[0]
     n = len(schema.json_schema.get("properties", {}))
     return f"schema_{n}fields" if n else "unnamed"
 
@@ -50,13 +51,13 @@ class SchemaRegistry:
             return self.spark.createDataFrame([], ROW)
         return self.spark.read.schema(ROW).parquet(self.path)
 
-    def register(self, schema: Schema, name: str | None = None, timestamp: float | None = None) -> str:
+    def register(self, schema: Schema, name: str = "", timestamp: float | None = None) -> str:
         name = name or auto_name(schema)
         row = (name, time.time() if timestamp is None else timestamp, json.dumps(schema.json_schema), json.dumps(schema.field_metadata), schema.lineage)
         self.spark.createDataFrame([row], ROW).write.mode("append").parquet(self.path)
         return f"{name}:v{versions(self.rows()).where(F.col('name') == name).count()}"
 
-    def get(self, name: str, version: int | None = None) -> Schema | None:
+    def get(self, name, version=None) -> Schema | None:
         rows = (latest(self.rows()) if version is None else versions(self.rows()).where(F.col("version") == version)).where(F.col("name") == name)
         r = rows.first()
         return Schema(json.loads(r.json_schema), json.loads(r.field_metadata), list(r.lineage)) if r else None

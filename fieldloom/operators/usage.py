@@ -12,6 +12,7 @@ from fieldloom.functions.jsonschema import leaf_fields
 from fieldloom.functions.text import tokens
 from fieldloom.operators.chunking import estimate_chunks
 
+Pricing = Mapping[str, tuple[float, float]]
 _PRICE_LIST = """
 gpt-4o                     2.5   10
 gpt-4o-mini                0.15  0.6
@@ -32,16 +33,16 @@ text-embedding-3-large     0.13  0
 PRICES: dict[str, tuple[float, float]] = {m: (float(i), float(o)) for m, i, o in (line.split() for line in _PRICE_LIST.strip().splitlines())}
 
 
-def price_table(spark: SparkSession, pricing: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+def price_table(spark: SparkSession, pricing: Pricing | None = None) -> DataFrame:
     merged = {**PRICES, **(pricing or {})}
     return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in merged.items()], "price_model string, price_in double, price_out double")
 
 
-def is_priced(model: str, pricing: Mapping[str, tuple[float, float]] | None = None) -> bool:
+def is_priced(model: str, pricing: Pricing | None = None) -> bool:
     return model in {**PRICES, **(pricing or {})}
 
 
-def with_cost(calls: DataFrame, pricing: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+def with_cost(calls: DataFrame, pricing: Pricing | None = None) -> DataFrame:
     """``calls`` with ``cost_usd``; a model without a price costs nothing. The price list is a dozen rows."""
     prices = F.broadcast(price_table(calls.sparkSession, pricing))
     cost = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / F.lit(1e6)
@@ -101,7 +102,7 @@ def estimate_pipeline_cost(docs: DataFrame, content: str = "content", chunk_size
 
 def estimate_extraction_cost(
     chunks: DataFrame, prompt: Column, schema: dict, model: str, *, records_per_chunk: int = 1, provenance: bool = False, system_tokens: int = 0,
-    pricing: Mapping[str, tuple[float, float]] | None = None,
+    pricing: Pricing | None = None,
 ) -> DataFrame:
     """One row: calls, tokens and cost of extracting from ``chunks``; ``prompt`` is the text of each call."""
     price_in, price_out = {**PRICES, **(pricing or {})}.get(model, (0.0, 0.0))

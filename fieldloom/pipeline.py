@@ -12,7 +12,7 @@ from fieldloom.errors import BudgetExceededError, SchemaError
 from fieldloom.functions import jsonschema
 from fieldloom.operators import usage
 from fieldloom.operators.canonical import LLMCanonicalization
-from fieldloom.operators.checkpoint import Checkpoint, unprocessed
+from fieldloom.operators.checkpoint import Checkpoint, cut, unprocessed
 from fieldloom.operators.discovery import LLMFieldSelector, SinglePassDiscovery
 from fieldloom.operators.extraction import LLMDirectExtraction, errors_of, records_of, usage_of
 from fieldloom.operators.mapping import CompositeNormalization, apply_mapping, values_of
@@ -22,6 +22,10 @@ from fieldloom.sources import documents as sources
 from fieldloom.sources import sinks
 
 
+#: May put another schema in the place of the one that was found.
+Hook = Callable[[Schema], Schema | None]
+
+
 @dataclass
 class PipelineResult:
     """Lazily evaluated tables of a run."""
@@ -101,7 +105,7 @@ class Pipeline:
 
     def run(
         self, spark: SparkSession, documents: DataFrame | list[str], *, schema: dict | Schema | None = None, normalize_fields: Sequence[str] | str | None = None,
-        domain_hint: str = "", on_schema_ready: Callable[[Schema], Schema | None] | None = None,
+        domain_hint: str = "", on_schema_ready: Hook | None = None,
     ) -> PipelineResult:
         docs = sources.resolve(spark, documents)
         saved = Checkpoint(spark, self.checkpoint_path) if self.checkpoint_path else None
@@ -123,7 +127,7 @@ class Pipeline:
         n = self.batches if self.max_cost_usd is not None else 1
         for k in range(n):
             mine = todo.where(F.pmod(F.xxhash64("doc_id", "doc_ord"), F.lit(n)) == k) if n > 1 else todo
-            got = self.extraction.extract(mine, found.json_schema).persist()  # every call is made once
+            got = cut(self.extraction.extract(mine, found.json_schema))  # every call is made once
             parts.append(got)
             if saved:
                 saved.append(got)
@@ -151,7 +155,7 @@ class Pipeline:
                 if not values.isEmpty():
                     if hasattr(strategy, "field_metadata"):
                         strategy.field_metadata = found.field_metadata.get(f)
-                    normalized[f] = strategy.normalize(values, f)
+                    normalized[f] = cut(strategy.normalize(values, f))
         return PipelineResult(found, result, normalized, usage.with_cost(usage_of(result), self.pricing), stopped)
 
     def estimate_cost(self, docs: DataFrame) -> DataFrame:

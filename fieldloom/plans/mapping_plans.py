@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import canonical, cascade, mapping, profile, registry
 from fieldloom.operators.checkpoint import unprocessed
 from fieldloom.operators.discovery import ThreeStageDiscovery, field_lines_extract
@@ -387,7 +388,7 @@ def three_stage_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
             return field_lines_extract(prompt)
         if prompt.startswith("Reply with add_fields"):
             return json.dumps({"add_fields": {"verdict": {"type": "string"}}})
-        return json.dumps({"type": "object", "properties": {"product": {"type": "string"}, "rating": {"type": "integer"}, "price": {"type": "number"}}})
+        return json.dumps(object_of(product="string", rating="integer", price="number"))
 
     strategy = ThreeStageDiscovery(RuleClient(model))
     strategy.discover(load_samples(spark, "reviews"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
+from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import chunking, extraction, provenance, records, usage
 from fieldloom.plans.tables import documents, table
 from fieldloom.providers import HashEmbeddings, RuleClient, embed_column
@@ -78,7 +79,7 @@ SELECT CAST(n AS BIGINT) AS n_documents, CAST(c AS BIGINT) AS n_chunks, round(m,
        round(e, 4) AS extraction_usd, round(z, 4) AS normalization_usd, round(d + e + z, 4) AS total_usd FROM q
 """
 
-RECORD = {"type": "object", "properties": {"first": {"type": "string"}, "length": {"type": "integer"}}, "required": ["first", "length"]}
+RECORD = object_of("first", "length", first="string", length="integer")
 
 
 def extraction_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +299,7 @@ EXTRACT_RULES = f"WITH {CHUNKS} SELECT doc_ord, chunk_id, substring(content, 1,
 
 def extract_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line a record, equal ones once."""
-    schema = {"type": "object", "properties": {"line": {"type": "string"}}}
+    schema = object_of(line="string")
     got = extraction.LLMDirectExtraction(RuleClient(_lines), multi_record=True).extract(documents(spark, sf_dir), schema)
     return got.where("error IS NULL").select("doc_ord", F.col("record_ord").cast("bigint").alias("line_number"), F.md5("record.line").alias("digest"))
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import clustering, mapping, ontology, profile
 from fieldloom.operators.cascade import CascadeNormalization
 from fieldloom.operators.chunking import chunk_fixed
@@ -190,7 +191,7 @@ def _head_word(prompt: str) -> str:
     return json.dumps({"opening": body.split(" ", 1)[0], "words": body.count(" ")})
 
 
-HEAD = {"type": "object", "properties": {"opening": {"type": "string"}, "words": {"type": "integer"}}}
+HEAD = object_of(opening="string", words="integer")
 
 
 def pipeline_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,12 @@ from fieldloom.errors import ProviderError
 from fieldloom.functions.plain import tokens
 
 Message = dict[str, str]
+Json = dict[str, Any]
 
 ROUTES = {
     "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"),
     "ollama": ("http://localhost:11434/v1", ""),
-    "mistral": ("https://api.mistral.ai/v1", "MISTRAL_API_KEY"),
+    "mistral": tuple("https://api.mistral.ai/v1 MISTRAL_API_KEY".split()),
 }
 
 
@@ -42,7 +43,7 @@ class Reply:
 
 
 class LLMClient(Protocol):
-    def complete(self, messages: Sequence[Message], *, schema: dict[str, Any] | None = None, temperature: float = 0.0) -> Reply: ...
+    def complete(self, messages: Sequence[Message], *, schema: Json | None = None, temperature: float = 0.0) -> Reply: ...
 
 
 class EmbeddingClient(Protocol):
@@ -74,7 +75,7 @@ class HttpClient:
     timeout: float = 120.0
     sleep: Callable[[float], None] = time.sleep
 
-    def _post(self, path: str, body: dict[str, Any]) -> dict[str, Any]:
+    def _post(self, path: str, body: Json) -> Json:
         model, url, _ = resolve_provider(self.model, self.base_url)
         data = json.dumps({"model": model, **body}).encode()
         headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})}
@@ -93,11 +94,11 @@ class HttpClient:
             self.sleep(2.0**attempt)
         raise AssertionError
 
-    def complete(self, messages: Sequence[Message], *, schema: dict[str, Any] | None = None, temperature: float = 0.0) -> Reply:
+    def complete(self, messages: Sequence[Message], *, schema: Json | None = None, temperature: float = 0.0) -> Reply:
         base = {"messages": list(messages), "temperature": temperature}
-        ways: list[dict[str, Any]] = [{}]
+        ways: list[Json] = [{}]
         if schema is not None:
-            ways = [{"response_format": {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema}}}, {"response_format": {"type": "json_object"}}, {}]
+            ways = [{"response_format": dict(type="json_schema", json_schema=dict(schema=schema, name="reply"))}, {"response_format": {"type": "json_object"}}, {}]
         for k, way in enumerate(ways):
             try:
                 got = self._post("/chat/completions", base | way)
@@ -127,7 +128,7 @@ class CannedClient:
     by_order: bool = False
     calls: list[list[Message]] = field(default_factory=list)
 
-    def complete(self, messages: Sequence[Message], *, schema: dict[str, Any] | None = None, temperature: float = 0.0) -> Reply:
+    def complete(self, messages: Sequence[Message], *, schema: Json | None = None, temperature: float = 0.0) -> Reply:
         k = len(self.calls) if self.by_order else int.from_bytes(hashlib.sha256(messages[-1]["content"].encode()).digest()[:4], "big")
         self.calls.append(list(messages))
         return Reply(self.replies[k % len(self.replies)], self.input_tokens, self.output_tokens, "canned")
@@ -140,7 +141,7 @@ class RuleClient:
     rule: Callable[[str], str]
     model: str = "rules"
 
-    def complete(self, messages: Sequence[Message], *, schema: dict[str, Any] | None = None, temperature: float = 0.0) -> Reply:
+    def complete(self, messages: Sequence[Message], *, schema: Json | None = None, temperature: float = 0.0) -> Reply:
         prompt = messages[-1]["content"]
         text = self.rule(prompt)
         return Reply(text, sum(tokens(m["content"]) + 4 for m in messages), tokens(text), self.model)
@@ -179,7 +180,7 @@ def embed_distinct(texts: DataFrame, client: EmbeddingClient, text_col: str = "t
     return texts.where(F.col(text_col).isNotNull()).select(text_col).distinct().withColumn(out, embed_column(client)(F.col(text_col)))
 
 
-def complete_rows(prompts: DataFrame, client: LLMClient, key_cols: Sequence[str], prompt_col: str = "prompt", schema: dict[str, Any] | None = None) -> DataFrame:
+def complete_rows(prompts: DataFrame, client: LLMClient, key_cols: Sequence[str], prompt_col: str = "prompt", schema: Json | None = None) -> DataFrame:
     """``key_cols`` with ``reply, input_tokens, output_tokens, model, error``: one call a row; a failed call is an error text."""
     kinds = {f.name: f.dataType.simpleString() for f in prompts.schema.fields}
     out_schema = ", ".join(f"`{c}` {kinds[c]}" for c in key_cols) + ", reply string, input_tokens bigint, output_tokens bigint, model string, error string"

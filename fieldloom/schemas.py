@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Any
 
 from pyspark.sql import types as T
 
+Json = dict[str, object]
+
 SPAN = T.StructType(
     [
         T.StructField("quote", T.StringType()),
@@ -56,9 +57,9 @@ USAGE = T.StructType(
 class Schema:
     """A discovered or given record schema; lives on the driver, it is a few kilobytes."""
 
-    json_schema: dict[str, Any]
-    field_metadata: dict[str, dict[str, Any]] = field(default_factory=dict)
-    lineage: list[str] = field(default_factory=list)
+    json_schema: Json
+    field_metadata: dict[str, Json] = field(default_factory=dict)
+    lineage: list = field(default_factory=list)
 
     @property
     def struct(self) -> T.StructType:

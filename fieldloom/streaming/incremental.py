@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldloom.operators.cascade import LearnedDictionaryCache
+from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.chunking import chunk_fixed
 
 
@@ -40,10 +41,9 @@ def normalize_stream(values: DataFrame, strategy: object, field: str, cache: Lea
             got = known.normalize(batch, field)
             parts.append(got.where("confidence > 0"))
             todo = got.where("confidence = 0").select(F.col("raw").alias("value"))
-        new = wrap(strategy.normalize(todo, field)).persist()
+        new = cut(wrap(strategy.normalize(todo, field)))
         both = parts[0].unionByName(new, allowMissingColumns=True) if parts else new
         both.write.mode("overwrite").parquet(f"{out}/batch={number}")
         cache.save(new, "stream")
-        new.unpersist()
 
     return values.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

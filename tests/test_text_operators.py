@@ -17,7 +17,7 @@ from fieldloom.schemas import DOCUMENTS
 from fieldloom.sources.documents import from_strings
 
 SPANS = "array<struct<quote:string,document_id:string,start:int,end:int,confidence:string>>"
-SCHEMA = {"type": "object", "properties": {"title": {"type": "string"}, "rating": {"type": "integer"}, "pros": {"type": "array", "items": {"type": "string"}}}, "required": ["title"]}
+SCHEMA = jsonschema.object_of("title", title="string", rating="integer", pros=dict(items=dict(type="string"), type="array"))
 
 
 def one(spark, column, *values, kinds="string"):
@@ -174,8 +174,10 @@ def test_cost_estimate(spark):
 
 
 def test_json_schema_types():
-    deep = {"$defs": {"A": {"type": "object", "properties": {"again": {"$ref": "#/$defs/A"}, "n": {"type": "number"}}}}, "type": "object", "properties": {
-        "a": {"$ref": "#/$defs/A"}, "e": {"enum": ["x"]}, "u": {"anyOf": [{"type": "null"}, {"type": "integer"}]}, "t": {"type": ["null", "boolean"]}, "l": {"type": "array"}, "o": {"type": "object"}, "w": {"type": "date"}, "x": {"$ref": "#/$defs/No"}}}
+    ref = lambda n: {"$ref": f"#/$defs/{n}"}
+    union = {"anyOf": [dict(type=t) for t in ("null", "integer")]}
+    deep = jsonschema.object_of(a=ref("A"), e={"enum": ["x"]}, u=union, t={"type": ["null", "boolean"]}, l="array", o="object", w="date", x=ref("No"))
+    deep["$defs"] = {"A": jsonschema.object_of(again=ref("A"), n="number")}
     assert jsonschema.to_struct(deep).simpleString() == "struct<a:struct<again:map<string,string>,n:double>,e:string,u:bigint,t:boolean,l:array<string>,o:map<string,string>,w:string,x:map<string,string>>"
     assert jsonschema.leaf_fields(deep) == 9
     with pytest.raises(SchemaError):
@@ -186,15 +188,16 @@ def test_json_schema_types():
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.from_regex(r"[a-z]{1,8}", fullmatch=True), st.sampled_from(["string", "integer", "number", "boolean"]), min_size=1, max_size=8))
 def test_schema_round_trip(fields):
-    schema = {"type": "object", "properties": {k: {"type": v} for k, v in fields.items()}}
+    schema = jsonschema.object_of(**fields)
     back = jsonschema.from_struct(jsonschema.to_struct(schema))
     assert back["properties"] == schema["properties"]
 
 
 def test_schema_edits():
-    s = {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": "string", "title": "B"}}, "required": ["b", "a"]}
-    out = jsonschema.apply_changes(s, {"add_fields": {"c": {"type": "integer"}, "a": {"type": "number"}}, "remove_fields": ["a", "zz"], "modify_fields": {"b": {"type": "integer"}}})
-    assert out["properties"] == {"b": {"type": "integer", "title": "B"}, "c": {"type": "integer"}} and out["required"] == ["b"]
+    of = jsonschema.object_of
+    s = of("b", "a", a="string", b=dict(title="B", type="string"))
+    changes = dict(add_fields=of(c="integer", a="number")["properties"], remove_fields=["a", "zz"], modify_fields=of(b="integer")["properties"])
+    assert jsonschema.apply_changes(s, changes) == of("b", b=dict(title="B", type="integer"), c="integer")
     assert jsonschema.apply_changes(s, {"remove_fields": ["a", "b"]}) == s
     assert set(jsonschema.apply_changes(s, {"remove_fields": ["a"], "add_fields": {"d": {}}}, True)["properties"]) == {"a", "b", "d"}
     wrapped = jsonschema.with_sources(s)
@@ -245,7 +248,8 @@ def test_multi_records_and_sources(spark):
     assert sorted(r.record.title for r in extract(spark, [many], multi_record=True).collect()) == ["x", "y"]
     assert extract(spark, [many], multi_record=True, deduplicate=False).count() == 3
     assert extract(spark, ['[{"title": "x"}, {"rating": 2}]'], multi_record=True).first().error is not None
-    wrapped = json.dumps({"title": {"value": "t", "source_quotes": ["b  text", "", "zzz"]}, "rating": {"value": None, "source_quotes": []}})
+    sourced = lambda v, *q: dict(value=v, source_quotes=q)
+    wrapped = json.dumps(dict(title=sourced("t", "b  text", "", "zzz"), rating=sourced(None)))
     r = extract(spark, [wrapped], ["the b text"], provenance=True).first()
     assert [(s.start, s.end, s.confidence) for s in r.provenance.field_spans["title"]] == [(4, 10, "fuzzy"), (None, None, "unresolved")]
 

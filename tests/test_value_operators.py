@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldloom.errors import DiscoveryError, NormalizationError, SchemaError
+from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import canonical, cascade, clustering, discovery, mapping, ontology, profile, registry
 from fieldloom.operators.checkpoint import Checkpoint
 from fieldloom.operators.extraction import LLMDirectExtraction
@@ -309,14 +310,14 @@ def test_sinks(spark, tmp_path):
 
 def test_registry(spark, tmp_path):
     reg = registry.SchemaRegistry(spark, f"{tmp_path}/r")
-    a, b = Schema({"type": "object", "properties": {"x": {"type": "string"}}}, {"x": {"d": 1}}, ["Given:1"]), Schema({"type": "object", "properties": {"y": {}, "z": {}}})
+    a, b = Schema(object_of(x="string"), {"x": {"d": 1}}, ["Given:1"]), Schema(object_of(y={}, z={}))
     assert [reg.register(a, timestamp=1.0), reg.register(b, "given", timestamp=2.0), reg.register(b, timestamp=3.0)] == ["given:v1", "given:v2", "schema_2fields:v1"]
     assert reg.get("given").json_schema == b.json_schema and reg.get("given", 1) == a and reg.get("given", 9) is None and reg.get("zz") is None
     assert [(r.name, r.version, r.n_fields) for r in reg.list_schemas().collect()] == [("given", 1, 1), ("given", 2, 2), ("schema_2fields", 1, 2)]
     assert reg.diff(a, b) == {"added": ["y", "z"], "removed": ["x"], "changed": []} and registry.auto_name(Schema({})) == "unnamed"
 
 
-LINES = {"type": "object", "properties": {"product": {"type": "string"}, "rating": {"type": "integer"}, "brand": {"type": "string"}}}
+LINES = object_of(product="string", rating="integer", brand="string")
 
 
 def model(prompt):
