@@ -5,8 +5,11 @@ first pass over the whole corpus counts how often each entropy occurs; the rarer
 lower its rank. In each run of ``FRAME`` successive windows the lowest rank (the leftmost on
 ties) gets a point, and windows with ``POINTS`` points or more are the text's features;
 windows of very low entropy (runs of a few bytes) never are. Feature hashes go into a chain of
-Bloom filters of ``BITS`` bits, ``PER_FILTER`` features each. Two digests are compared by the
-bits their filters share, less what chance would give, over the most they could share.
+Bloom filters of ``BITS`` bits, ``PART`` features each. Two digests are compared by the bits
+that each filter of the shorter one shares with a run of ``JOINED`` successive filters of the
+longer one, less what chance would give, over the filter's bits. A copied passage's filter
+has at most ``PART`` features (and a few more beside the passage's ends), so wherever
+it lies in the longer text one of the runs holds it whole.
 
 Entropies slide: a window's sum of c*log2(c) over its byte counts changes by what enters and
 what leaves, and how often a byte occurs in the bytes of a window before or after it is the
@@ -31,6 +34,9 @@ POINTS = 8
 BITS = 2048
 HASHES = 5
 PER_FILTER = 160
+#: Filters are laid in parts, so that those compared as one, of PER_FILTER features at most, overlap.
+JOINED = 3
+PART = PER_FILTER // JOINED
 LOWEST = 100
 LEVELS = 1001
 #: Reference digests that one pass compares with; more take several passes.
@@ -38,7 +44,7 @@ REFERENCE_BYTES = 8 << 20
 #: A digest of fewer features is not told from chance: a full filter has a third of its bits set,
 #: so one feature is found in it by chance once in 240 times, three once in 10**7.
 LEAST_FEATURES = 3
-#: Least overlap of a match: a copied passage has 1, or less where its features lie in two filters.
+#: Least overlap of a match: a copied passage has 1, or a little less beside its ends.
 MATCH = 0.9
 
 _SCALE = 1 << 16
@@ -108,17 +114,19 @@ def feature_hashes(data: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tupl
 
 
 def chain(hashes: np.ndarray) -> tuple[int, bytes]:
-    """How many distinct features there are, and the filters they fill, in the order given."""
-    _, first = np.unique(hashes, return_index=True)
-    h = hashes[np.sort(first)]
+    """How many distinct features there are, and the filters that all of them fill, in the order given.
+
+    A feature that occurs again is in the filter of each place: a passage is whole where it lies.
+    """
+    h = hashes
     if not len(h):
         return 0, b""
-    filters = -(-len(h) // PER_FILTER)
+    filters = -(-len(h) // PART)
     bits = np.zeros(filters * BITS, dtype=np.uint8)
-    base = np.arange(len(h)) // PER_FILTER * BITS
+    base = np.arange(len(h)) // PART * BITS
     for k in range(HASHES):
         bits[base + ((h >> np.uint64(11 * k)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return len(h), np.packbits(bits).tobytes()
+    return len(np.unique(h)), np.packbits(bits).tobytes()
 
 
 def _filters(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +135,48 @@ def _filters(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, BITS // 64), np.concatenate([[0], np.cumsum(n)])
 
 
+def _joined(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unions of each ``JOINED`` successive filters of a digest (of all, if it has fewer), and the bounds of each digest's."""
+    end = np.repeat(at[1:], np.diff(at))
+    first = np.repeat(at[:-1], np.diff(at))
+    row = np.arange(len(x))
+    out = x.copy()
+    for k in range(1, JOINED):
+        fits = row[row + k < end]
+        out[fits] |= x[fits + k]
+    keep = (row + JOINED <= end) | (row == first)
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised bit overlap, from 0 (chance) to 1, of each filter in ``a`` with each in ``b``."""
+    """The share, from 0 (chance) to 1, of the bits of each filter in ``a`` that each in ``b`` has too."""
     na, nb = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None], np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :]
     both = np.zeros((len(a), len(b)), dtype=np.int64)
     for w in range(a.shape[1]):
         both += np.bitwise_count(a[:, w, None] & b[None, :, w])
     chance = na * nb / BITS
-    most = np.minimum(na, nb)
-    return np.clip((both - chance) / np.maximum(most - chance, 1e-9), 0.0, 1.0)
+    return np.clip((both - chance) / np.maximum(na - chance, 1e-9), 0.0, 1.0)
+
+
+def _held(x: np.ndarray, ax: np.ndarray, y: np.ndarray, ay: np.ndarray) -> np.ndarray:
+    """For each digest of ``x`` and each of ``y``, the mean over the former's bits of its filters' best overlap with the latter."""
+    u, au = _joined(y, ay)
+    best = np.maximum.reduceat(overlaps(x, u), au[:-1], axis=1)
+    bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    return np.add.reduceat(best * bits[:, None], ax[:-1], axis=0) / np.add.reduceat(bits, ax[:-1])[:, None]
+
+
+def scores(digests: list[bytes], reference: list[bytes]) -> np.ndarray:
+    """How much of the shorter of each digest and each reference digest is found in the other; all have features."""
+    x, ax = _filters(digests)
+    y, ay = _filters(reference)
+    nx, ny = (np.add.reduceat(np.bitwise_count(f).sum(axis=1, dtype=np.int64), at[:-1]) for f, at in ((x, ax), (y, ay)))
+    return np.where(nx[:, None] <= ny[None, :], _held(x, ax, y, ay), _held(y, ay, x, ax).T)
 
 
 def compare(a: bytes, b: bytes) -> float | None:
-    """Mean, over the filters of the shorter digest, of the best overlap with a filter of the other; None without features."""
-    if not a or not b:
-        return None
-    x, y = _filters([a])[0], _filters([b])[0]
-    s = overlaps(x, y)
-    return float(s.max(axis=1).mean() if len(x) <= len(y) else s.max(axis=0).mean())
+    """The score of two digests; None without features."""
+    return float(scores([a], [b])[0, 0]) if a and b else None
 
 
 def best_matches(digests: list[bytes], reference: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +185,7 @@ def best_matches(digests: list[bytes], reference: list[bytes]) -> tuple[np.ndarr
     have, ref = [k for k, d in enumerate(digests) if d], [k for k, d in enumerate(reference) if d]
     if not have or not ref:
         return place, score
-    x, ax = _filters([digests[k] for k in have])
-    y, ay = _filters([reference[k] for k in ref])
-    s = overlaps(x, y)
-    nx, ny = np.diff(ax), np.diff(ay)
-    by_ref = np.add.reduceat(np.maximum.reduceat(s, ax[:-1], axis=0), ay[:-1], axis=1) / ny
-    by_own = np.add.reduceat(np.maximum.reduceat(s, ay[:-1], axis=1), ax[:-1], axis=0) / nx[:, None]
-    both = np.where(nx[:, None] <= ny[None, :], by_own, by_ref)
+    both = scores([digests[k] for k in have], [reference[k] for k in ref])
     best = both.argmax(axis=1)
     place[have], score[have] = np.array(ref)[best], both[np.arange(len(have)), best]
     return place, score
@@ -231,8 +257,8 @@ def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    some = batch.slice(lo, 256)
+                for lo in range(0, batch.num_rows, 64):
+                    some = batch.slice(lo, 64)
                     own = [d if n >= LEAST_FEATURES else b"" for n, d in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
                     place, score = best_matches(own, known)
                     near = pa.array([items[p] if p >= 0 and x >= least else None for p, x in zip(place, score)], pa.int64())
