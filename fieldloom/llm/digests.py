@@ -179,16 +179,18 @@ def compare(a: bytes, b: bytes) -> float | None:
     return float(scores([a], [b])[0, 0]) if a and b else None
 
 
-def best_matches(digests: list[bytes], reference: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each digest with features, the place of the reference digest most like it (the first on ties) and their score; -1 otherwise."""
-    place, score = np.full(len(digests), -1), np.zeros(len(digests))
+def matches(digests: list[bytes], reference: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each digest with features, the place of the reference digest most like it (the first on ties), their score, and the places of all whose score is at least ``least``; -1 otherwise."""
+    place, score, every = np.full(len(digests), -1), np.zeros(len(digests)), [np.zeros(0, np.int64)] * len(digests)
     have, ref = [k for k, d in enumerate(digests) if d], [k for k, d in enumerate(reference) if d]
     if not have or not ref:
-        return place, score
+        return place, score, every
     both = scores([digests[k] for k in have], [reference[k] for k in ref])
     best = both.argmax(axis=1)
     place[have], score[have] = np.array(ref)[best], both[np.arange(len(have)), best]
-    return place, score
+    for k, s in zip(have, both):
+        every[k] = np.array(ref)[s >= least]
+    return place, score, every
 
 
 def level_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -236,11 +238,11 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_
 
 
 def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> DataFrame:
-    """``digests`` with ``overlap``, that with the most similar row of ``reference(item_id, n_features, digest)``, and ``nearest``, that row's identifier if the overlap is at least ``least``.
+    """``digests`` with ``overlap``, that with the most similar row of ``reference(item_id, n_features, digest)``, and ``nearest``, that row's identifier if the overlap is at least ``least``; ``matches`` has the identifiers of all rows whose overlap is, ascending.
 
     Rows of either side with fewer than ``LEAST_FEATURES`` features aren't compared: their
-    ``nearest`` and ``overlap`` are null, as they are if the reference has no other rows. Ties
-    go to the least identifier. The reference is held in memory in parts of ``REFERENCE_BYTES``: if it is
+    ``nearest``, ``overlap`` and ``matches`` are null, as they are if the reference has no other rows. Ties
+    go to the least identifier; repeated identifiers are one in ``matches``. The reference is held in memory in parts of ``REFERENCE_BYTES``: if it is
     larger, each part is a pass of its own over the digests and the best of all parts counts.
     """
     held = cut(reference.where(f"item_id IS NOT NULL AND n_features >= {LEAST_FEATURES}").select(F.col("item_id").cast("bigint"), "digest"))
@@ -260,12 +262,13 @@ def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> Dat
                 for lo in range(0, batch.num_rows, 64):
                     some = batch.slice(lo, 64)
                     own = [d if n >= LEAST_FEATURES else b"" for n, d in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
-                    place, score = best_matches(own, known)
+                    place, score, every = matches(own, known, least)
                     near = pa.array([items[p] if p >= 0 and x >= least else None for p, x in zip(place, score)], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*some.columns, near, pa.array(np.where(place < 0, np.nan, score), from_pandas=True)], [*some.schema.names, "nearest", "overlap"])
+                    found = pa.array([sorted({items[q] for q in qs}) if p >= 0 else None for p, qs in zip(place, every)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*some.columns, near, pa.array(np.where(place < 0, np.nan, score), from_pandas=True), found], [*some.schema.names, "nearest", "overlap", "matches"])
 
         extra = ", __row bigint" if parts > 1 else ""
-        return digests.mapInArrow(run, f"doc_id {kind}, n_features int, digest binary{extra}, nearest bigint, overlap double")
+        return digests.mapInArrow(run, f"doc_id {kind}, n_features int, digest binary{extra}, nearest bigint, overlap double, matches array<bigint>")
 
     if parts == 1:
         return one(0)
@@ -273,4 +276,5 @@ def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> Dat
     for p in range(1, parts):
         every = every.unionByName(one(p))
     best = F.max_by(F.struct("doc_id", "n_features", "digest", "nearest", "overlap"), F.struct(F.coalesce("overlap", F.lit(-1.0)), F.coalesce(-F.col("nearest"), F.lit(-(1 << 62)))))
-    return every.groupBy("__row").agg(best.alias("b")).select("b.*")
+    found = F.array_sort(F.flatten(F.collect_list("matches")))  # no identifier is in two parts
+    return every.groupBy("__row").agg(best.alias("b"), found.alias("m")).select("b.*", F.when(F.col("b.overlap").isNotNull(), F.col("m")).alias("matches"))

@@ -33,3 +33,18 @@ def test_digests_find_passages_wherever_they_lie_in_long_texts():
     for k, p in enumerate(made[:3]):
         assert all(digests.compare(d, p) >= digests.MATCH for d in docs[20 * k : 20 * k + 20])
         assert not any(digests.compare(d, p) >= digests.MATCH for d in made[63:])
+
+
+def test_digests_name_every_passage_of_a_document(spark, monkeypatch):
+    items = [(k, prose(40)) for k in range(12)]
+    items += [(20, items[3][1]), (3, items[3][1])]  # equal passages, and a repeated row
+    rows = [(k, " ".join((prose(150), items[k][1], prose(150), items[k + 1][1], prose(30)))) for k in range(6)] + [(6, prose(200)), (7, items[9][1]), (8, "short"), (9, None)]
+    docs, ref = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rank = digests.ranks(digests.level_counts(docs))
+    made, known = digests.fingerprint(docs, rank).cache(), digests.fingerprint(ref, rank, id_col="item_id").withColumnRenamed("doc_id", "item_id").cache()
+    want = {k: [k, k + 1] + [20] * (3 in (k, k + 1)) for k in range(6)} | {6: [], 7: [9], 8: None, 9: None}
+    for held in (digests.REFERENCE_BYTES, 1000):
+        monkeypatch.setattr(digests, "REFERENCE_BYTES", held)
+        found = digests.match(made, known).collect()
+        assert {r.doc_id: r.matches for r in found} == want
+        assert {r.doc_id: r.nearest for r in found} == {k: m[0] if m else None for k, m in want.items()}
