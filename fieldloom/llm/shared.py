@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.checkpoint import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "connected_components", "cut"]
+__all__ = ["checkpoint_dir", "connected_components", "cut", "fresh"]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out, k = f"__{name}", 0
+    while out.lower() in taken:
+        out, k = f"__{name}_{k}", k + 1
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

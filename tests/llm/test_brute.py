@@ -62,7 +62,9 @@ def test_near_duplicates_recall_and_precision(docs, corpus):
     jac = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2)}
     group = {r.doc_id: r.group_id for r in lsh_forest.near_duplicates(docs).collect()}
     want = [p for p, j in jac.items() if j >= 0.6]
-    assert sum(group[a] == group[b] for a, b in want) >= 0.97 * len(want)
+    assert sum(group[a] == group[b] for a, b in want) >= 0.99 * len(want)
+    close = [p for p, j in jac.items() if 0.52 <= j < 0.6]  # at the threshold itself an estimate is as often below as above
+    assert not close or sum(group[a] == group[b] for a, b in close) >= 0.8 * len(close)
     part = {i: i for i in sets}  # what any links of at least 0.35 could connect
     for (a, b), j in jac.items():
         if j >= 0.35:
@@ -72,25 +74,73 @@ def test_near_duplicates_recall_and_precision(docs, corpus):
     assert all(g == min(k for k, v in group.items() if v == g) for g in group.values())
 
 
-def test_deep_regions_link_the_same_as_all_pairs(monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, (6, lsh_forest.HASHES), dtype=np.uint8)
-    sketch = base[np.repeat(np.arange(6), 40)].copy()
+def forest_lot(n_groups: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A lot of entries in order: groups of similar sketches, in few labels that share values."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (n_groups, lsh_forest.HASHES), dtype=np.uint16)
+    sketch = base[np.repeat(np.arange(n_groups), size)].copy()
     noise = rng.random(sketch.shape) < 0.2
     sketch[noise] = rng.integers(0, 256, int(noise.sum()))
-    label = np.repeat(rng.integers(0, 3, (6, lsh_forest.DEPTH)), 40, axis=0)
-    def parts(links):
-        of = list(range(len(label)))
-        for u, v in links:
-            old, new = of[v], of[u]
-            of = [new if x == old else x for x in of]
-        return {tuple(np.flatnonzero(np.array(of) == x)) for x in set(of)}
-    whole = parts(lsh_forest.region_links(label, sketch, 0.5))
-    monkeypatch.setattr(lsh_forest, "CROWD", 8)
-    order = np.lexsort(label.T[::-1])
-    place = np.argsort(order)
-    split = parts([(order[u], order[v]) for u, v in lsh_forest.region_links(label[order], sketch[order], 0.5)])
-    assert whole == split and len(place) == 240
+    label = rng.integers(0, 2, (n_groups, lsh_forest.DEPTH), dtype=np.uint16)[np.repeat(np.arange(n_groups), size)]
+    key = np.concatenate([rng.integers(0, 2, (n_groups * size, 1), dtype=np.uint16), label, sketch], axis=1)
+    key = key[np.lexsort(key.T[::-1])]
+    return key, lsh_forest._sketch(key)
+
+
+def components(n: int, links: list[tuple[int, int]]) -> set[tuple[int, ...]]:
+    of = list(range(n))
+    for u, v in links:
+        old, new = of[v], of[u]
+        of = [new if x == old else x for x in of]
+    return {tuple(np.flatnonzero(np.array(of) == x)) for x in set(of)}
+
+
+def candidates_brute(key: np.ndarray, crowd: int, near: int) -> set[tuple[int, int]]:
+    """Pairs of one region of at most ``crowd`` entries of any depth, and neighbours in the order with the same first value."""
+    rows, out = [tuple(r) for r in key.tolist()], set()
+    for depth in range(2, key.shape[1] + 1):
+        runs = {}
+        for i, r in enumerate(rows):
+            runs.setdefault(r[:depth], []).append(i)
+        out |= {p for run in runs.values() if len(run) <= crowd for p in combinations(run, 2)}
+        if depth == 2:
+            out |= {p for run in runs.values() for p in combinations(run, 2) if p[1] - p[0] <= near}
+    return out
+
+
+def test_forest_candidates_against_brute_force(monkeypatch):
+    monkeypatch.setattr(lsh_forest, "CROWD", 24)
+    monkeypatch.setattr(lsh_forest, "NEIGHBOURS", 3)
+    for seed in range(4):
+        key, sketch = forest_lot(9, 30, seed)
+        least = (0.5 * (1 - 1 / 256) + 1 / 256) * lsh_forest.HASHES
+        want = [(i, j) for i, j in candidates_brute(key, 24, 3) if (sketch[i] == sketch[j]).sum() >= least]
+        whole = components(len(key), lsh_forest.lot_links(key, sketch, 0.5))
+        assert whole == components(len(key), want) and len(whole) < len(key) // 2
+        for step in (40, 61):  # in lots that overlap by an edge
+            links = []
+            for a in range(0, len(key), step):
+                lo, hi = max(0, a - 25), min(len(key), a + step)
+                links += [(lo + i, lo + j) for i, j in lsh_forest.lot_links(key[lo:hi], sketch[lo:hi], 0.5, a > 0, hi < len(key))]
+            assert components(len(key), links) == whole
+
+
+def test_forest_parts_and_lots_give_the_same_groups(spark, monkeypatch):
+    base, r = prose(ENGLISH, 60), random.Random(3)
+    texts = [" ".join(near_copy(base, 2)) for _ in range(1200)] + [" ".join(prose(ENGLISH, 40)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(r.sample(texts, len(texts)))), "doc_id bigint, text string").repartition(3)
+    want = sorted(lsh_forest.near_duplicates(docs).collect())
+    monkeypatch.setattr(lsh_forest, "PART_ROWS", 5000)
+    monkeypatch.setattr(lsh_forest, "HELD", 1500)
+    assert sorted(lsh_forest.near_duplicates(docs).collect()) == want
+    monkeypatch.setattr(lsh_forest, "PART_ROWS", 400)  # parts too short for an edge: fewer are taken
+    assert sorted(lsh_forest.near_duplicates(docs).collect()) == want
+    assert sum(not row.is_kept for row in want) >= 1190
+
+
+def test_near_duplicates_need_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        lsh_forest.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_connected_components(spark):
