@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, made of parts of sample documents. A
+Each language has a raw-content zstandard dictionary, made of whole sample documents. A
 text, with ASCII case folded and signs and digits as blanks, is encoded in blocks of ``BLOCK`` bytes, each on its own and with every dictionary in
 turn, so that the whole text counts and a long text can't become its own dictionary. The
 language whose dictionary gives the smallest total wins; if the runner-up's total isn't at
@@ -17,17 +17,19 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.shared import cut
 from fieldloom.llm.textbytes import FOLD, slices
 
 UNKNOWN = "und"
 BLOCK = 2048
 MARGIN = 0.005
 #: Greedy matching of at least four bytes tells close languages apart best for its cost.
-PARAMETERS = {"strategy": zstd.STRATEGY_GREEDY, "min_match": 4, "search_log": 4, "hash_log": 16, "chain_log": 16, "window_log": 17}
-DICTIONARY_BYTES = 48 << 10
-#: Sample documents of a language, and how much of each may go into its dictionary.
-SAMPLE_DOCS = 100
-SAMPLE_BYTES = 1024
+PARAMETERS = {"strategy": zstd.STRATEGY_GREEDY, "min_match": 4, "search_log": 4}
+#: Labelled documents of a language that its dictionary is made of, and the lengths, in characters, of those that may be.
+SAMPLE_DOCS = 24
+SAMPLE_LENGTHS = (41, 16_384)
+#: More than so many language labels are taken for a mistake.
+LANGUAGES = 1000
 
 PLAIN = FOLD.copy()
 PLAIN[:65] = PLAIN[91:97] = PLAIN[123:128] = 32
@@ -43,8 +45,11 @@ class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
         self.each = []
-        how = zstd.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **PARAMETERS)
         for name in self.names:
+            log = max(16, len(dictionaries[name]).bit_length())  # all of the dictionary is within the window and has its own places in the tables
+            how = zstd.ZstdCompressionParameters(
+                write_checksum=False, write_content_size=False, write_dict_id=False, window_log=log + 1, hash_log=log, chain_log=log, **PARAMETERS
+            )
             d = zstd.ZstdCompressionDict(dictionaries[name], dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self.each.append(zstd.ZstdCompressor(dict_data=d, compression_params=how))
@@ -68,27 +73,28 @@ def decide(names: list[str], sizes: list[int], margin: float = MARGIN) -> tuple[
 def train_dictionaries(
     docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, bytes]:
-    """A dictionary for each language that labelled documents name.
+    """A dictionary for each language that labelled documents name: the whole texts of ``sample_docs`` of them.
 
-    At most ``sample_docs`` documents of a language, in the order of a hash of their
-    identifier, give up to ``SAMPLE_BYTES`` from their middle each. Rows without a language,
-    text or identifier don't count; a language without any bytes has no dictionary.
+    They are taken in the order of a hash of their identifier, from the rows that have a language, an
+    identifier and a text of ``SAMPLE_LENGTHS`` characters; of rows that share both language and
+    identifier the least text counts. A language without such rows has no dictionary. The sample is
+    bounded by these parameters, so its identifiers may be broadcast and its texts come to the driver.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 40))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language")), "id")
-    some = (
-        known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "id").distinct()
+    lo, hi = SAMPLE_LENGTHS
+    known = (
+        docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.length("text").between(lo, hi))
     )
-    middle = F.expr(f"substring(text, cast(greatest(length(text) - {SAMPLE_BYTES}, 0) / 2 as int) + 1, {SAMPLE_BYTES})")
-    text = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("lang", "id", middle.alias("part"))
-    rows = text.join(some, ["lang", "id"], "left_semi").orderBy("lang", F.xxhash64("id", F.lit("language")), "part").collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language")), "id")
+    ids = known.select("lang", "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    some = cut(ids)
+    if (found := some.where("n = 1").count()) > LANGUAGES:
+        raise ValueError(f"{lang_col} has {found} values; at most {LANGUAGES} languages are told apart")
+    rows = known.join(F.broadcast(some), ["lang", "id"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
-    for r in rows:
-        got = out.get(r.lang, b"")
-        if len(got) < DICTIONARY_BYTES:
-            out[r.lang] = got + plain(r.part) + b" "
-    return {k: v[-DICTIONARY_BYTES:] for k, v in out.items()}
+    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
+        out[r.lang] = out.get(r.lang, b"") + plain(r.text) + b" "
+    return out
 
 
 def identify(

@@ -217,6 +217,43 @@ def test_language_held_out(spark):
     assert all(got[i] in (lang, "und") for i, _, lang in test)
 
 
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The whole query: the sample, dictionaries, whole texts in blocks, the margin."""
+    r = random.Random(31)
+    rows = []
+    for k in range(160):
+        words = prose((ENGLISH, GERMAN)[k % 2], r.choice((3, 20, 120, 900)))
+        rows.append((k if k % 37 else None, "A-1 " + " ".join(words).title() if k % 23 else r.choice((None, "", "!?")), ("en", "de", None)[k % 2 if k % 11 else 2]))
+    rows += [(4, "x" * 60, "en"), (5, "word " * 20_000, "de")]
+    pq.write_table(pa.table({c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate((("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())))}), tmp_path / "documents.parquet")
+    got = sorted((repr(x.doc_id), x.language, round(x.margin, 9)) for x in queries.op5_language_id(spark, str(tmp_path)).collect())
+
+    flat = lambda t: re.sub(r"[\x00-@\[-`{-\x7f]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t)).encode()
+    hashed = {x.id: x.h for x in spark.range(200).selectExpr("id", "xxhash64(id, 'language') AS h").collect()}
+    pool: dict[str, dict[int, str]] = {}
+    for i, t, lang in rows:
+        if None not in (i, t, lang) and 41 <= len(t) <= 16_384:
+            pool.setdefault(lang, {})[i] = min(t, pool.get(lang, {}).get(i, t))
+    made = {lang: b"".join(flat(ts[i]) + b" " for i in sorted(ts, key=lambda i: (hashed[i], i))[: language.SAMPLE_DOCS]) for lang, ts in pool.items()}
+    assert language.train_dictionaries(spark.read.parquet(str(tmp_path / "documents.parquet"))) == made
+    coders = language.Compressors(made)
+    want = []
+    for i, t, _ in rows:
+        b, size = flat(t or ""), {}
+        for name, c in zip(coders.names, coders.each):
+            size[name] = sum(len(c.compress(b[a : a + 2048])) for a in range(0, len(b), 2048))
+        best, other = sorted(size.items(), key=lambda x: (x[1], x[0]))
+        by = other[1] / best[1] - 1 if b else 0.0
+        want.append((repr(i), best[0] if by >= language.MARGIN else "und", round(by, 9)))
+    assert got == sorted(want)
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="3 values"):
+        language.train_dictionaries(spark.createDataFrame([(k, "word " * 20, f"l{k}") for k in range(3)], "doc_id bigint, text string, lang string"))
+
+
 def test_language_margins():
     assert language.decide(["a", "b"], [100, 100]) == ("und", 0.0)
     assert language.decide(["a", "b"], [1000, 1001], margin=0.005)[0] == "und"
