@@ -9,7 +9,7 @@ maximum over the document's windows, so overlapping hits become one removed run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
@@ -51,6 +51,12 @@ def _removed(df: DataFrame) -> DataFrame:
     return by_doc.select("doc_id", gone.alias("gone")).where(F.size("gone") > 0)
 
 
+def _mask(gone: Column) -> Column:
+    """A byte for each line up to the last in ``gone`` (ascending), 1 for those that go: looked up in constant time, unlike an array's members."""
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(gone, i - 1))
+    return F.unhex(F.array_join(F.transform(gone, lambda p, i: F.concat(F.repeat(F.lit("00"), p - before(i) - 1), F.lit("01"))), ""))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, clean_text, removed_lines)``, a row for each row of ``docs``.
 
@@ -62,11 +68,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * ties: there are none, (doc_id, line number) is unique after the rule above.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = df.join(_removed(df), "doc_id", "left")
-    kept = F.filter(
-        F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)
-    )
-    touched = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    gone = _removed(df).select("doc_id", _mask(F.col("gone")).alias("mask"))
+    marked = df.join(gone, "doc_id", "left")
+    # Rows that share an identifier share a mask, and may have fewer lines than it.
+    kept = F.filter(F.split("text", "\n"), lambda x, i: F.substring("mask", i + 1, F.lit(1)) != F.lit(b"\x01"))
+    touched = F.col("mask").isNotNull() & F.col("text").isNotNull()
     clean = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text"))
     count = F.when(touched, F.size(F.split("text", "\n")) - F.size(kept)).otherwise(F.lit(0))
     return marked.select("doc_id", clean.alias("clean_text"), count.cast("bigint").alias("removed_lines"))
