@@ -20,19 +20,19 @@ def normalised(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
-def _ranked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df``'s rows with a non-null text, with ``__first`` and ``__rank`` within equal texts."""
-    norm = normalised(F.col(text_col))
+def _ranked(df: DataFrame) -> DataFrame:
+    """``(id, text, rest, first, rank)`` of ``df(id, text, rest)``'s rows with a text: the least identifier, and the place, within equal texts."""
+    norm = normalised(F.col("text"))
     keyed = (
-        df.where(F.col(text_col).isNotNull())
-        .withColumn("__head", F.substring(norm, 1, 24))
-        .withColumn("__hash", F.xxhash64(norm))
-        .repartitionByRange("__head", "__hash")
-        .withColumn("__norm", norm)
+        df.where(F.col("text").isNotNull())
+        .withColumn("head", F.substring(norm, 1, 24))
+        .withColumn("hash", F.xxhash64(norm))
+        .repartitionByRange("head", "hash")
+        .withColumn("norm", norm)
     )
-    group = Window.partitionBy("__head", "__hash", "__norm").orderBy(F.col(id_col).asc_nulls_last())
+    group = Window.partitionBy("head", "hash", "norm").orderBy(F.col("id").asc_nulls_last())
     seen = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return keyed.withColumn("__first", F.first(id_col).over(seen)).withColumn("__rank", F.row_number().over(group))
+    return keyed.withColumn("first", F.first("id").over(seen)).withColumn("rank", F.row_number().over(group))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,19 +46,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     * repeated rows and repeated identifiers: one row of each group of equal texts is kept;
     * empty table: empty result; other columns are ignored.
     """
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sorted_ = _ranked(df, "doc_id", "text").select(
-        "doc_id", F.col("__first").alias("kept_id"), (F.col("__rank") == 1).alias("is_kept")
-    )
+    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sorted_ = _ranked(df).select(F.col("id").alias("doc_id"), F.col("first").alias("kept_id"), (F.col("rank") == 1).alias("is_kept"))
     return sorted_.unionByName(
-        df.where("text IS NULL").select("doc_id", F.col("doc_id").alias("kept_id"), F.lit(True).alias("is_kept"))
+        df.where("text IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("kept_id"), F.lit(True).alias("is_kept"))
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns (names with ``__`` are reserved)."""
-    kept = _ranked(docs, id_col, text_col).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where(F.col(text_col).isNull()))
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, in no order.
+
+    Rows with a null text stay; of empty and blank texts one row stays; of equal rows with a null
+    identifier one stays, if none with an identifier is equal; ties and repeated rows: one stays.
+    The row travels as one struct, so extra columns of any name pass as they are. Long texts are
+    compared whole; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
+    kept = _ranked(rows).where("rank = 1").select(*[(F.col("text") if c == text_col else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(F.col(f"`{text_col}`").isNull()))
 
 
 SQL = f"""
