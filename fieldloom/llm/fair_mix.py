@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import cut
+from fieldloom.llm.shared import cut, fresh
 
 SLICES = 4096
 PREFIX = 3
@@ -101,10 +101,15 @@ def plan_mix(
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``plan_mix`` takes, with all their columns, in no order."""
-    id_col = options.get("id_col", "doc_id")
-    taken = plan_mix(docs, **options).select(F.col("doc_id").alias("__taken"))
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("__taken")), "left_semi")
+    """The rows of ``docs`` that ``plan_mix`` takes, with all their columns, in no order.
+
+    All rows of an identifier, or of the null identifier, are taken or left together; null and empty
+    texts have no tokens, long ones count whole; null sources and ties are as in ``plan_mix``. Extra
+    columns of any name pass as they are; an empty table gives an empty result.
+    """
+    name = fresh(docs, "taken")
+    taken = plan_mix(docs, **options).select(F.col("doc_id").alias(name))
+    return docs.join(taken, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col(name)), "left_semi")
 
 
 SQL = f"""
