@@ -22,8 +22,8 @@ WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
-def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(lo, hi, bytes, offsets)`` for runs of rows of about ``limit`` bytes; nulls count as empty."""
+def slices(column: pa.Array, limit: int = SLICE, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(lo, hi, bytes, offsets)`` for runs of up to ``rows`` rows of about ``limit`` bytes; nulls count as empty."""
     if len(column) == 0:
         return
     if column.null_count:
@@ -36,7 +36,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, lo + rows, len(column))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.textbytes import slices
 
+#: Bytes of automaton states and of results that a task holds at a time: the more rules, the fewer URLs.
+STATES = 16 << 20
+
 #: Rules that begin with ``@`` are exceptions: a URL that matches one isn't blocked.
 RULES = (
     "*://*casino*/*", "*://*free-bets*/*", "*://*cheap-pills*/*", "*://*ads-track*/*", "*://ads.*/*", "*://*.doubleclick.*/*",
@@ -124,16 +127,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[str] = RULES, id_col: str = "p
     * null URL: null canonical URL, no rules, not blocked; empty URL: only rules that match
       the empty string (``*``);
     * no rules: nothing is blocked; null identifiers and repeated rows pass as they are;
-    * URLs of any length are matched whole; other columns are ignored.
+    * URLs of any length are matched whole; other columns are ignored; memory is bounded by
+      ``STATES`` whatever the number of rules; an empty table gives an empty result.
     """
     df = pages.select(F.col(id_col).alias("page_id"), canonical(F.col(url_col)).alias("canonical_url"))
     automaton = GlobAutomaton([r.removeprefix("@") for r in rules])
+    at_once = max(1, STATES // (24 * automaton.words + len(rules)))  # states, two temporaries and a truth value for each rule
     allow = np.array([r.startswith("@") for r in rules], dtype=bool)
     kind = df.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
+            for lo, hi, data, offs in slices(batch.column(1), rows=at_once):
                 hit = automaton.match(data, offs)
                 hit &= batch.column(1)[lo:hi].is_valid().to_numpy(zero_copy_only=False)[:, None]
                 names = [""] * (hi - lo)
