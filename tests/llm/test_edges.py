@@ -49,6 +49,21 @@ def scanner():
     return secrets.train(secrets.findings.labelled(600))
 
 
+#: Names that operators could use for columns of their own.
+HELPERS = ("__gone", "__gone_0", "__taken", "__norm", "__hash", "__head", "__first", "__rank", "__id", "__toxic", "__row", "id", "rest", "first", "rank", "head", "hash", "norm")
+
+
+def test_columns_with_helpers_names_pass_unchanged(spark, toxic_model):
+    rows = [(i, t, "en", s) for i, t, _, s in ROWS if i not in (6,)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat('mine ', coalesce(doc_id, 0), ' ', '{c}') AS `{c}`" for c in HELPERS])
+    for made in (
+        lsh_forest.drop_near_duplicates(docs), content_sort.drop_exact_duplicates(docs), fair_mix.mix_documents(docs, budget_tokens=1 << 40), toxicity.drop_toxic(docs, toxic_model)
+    ):
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert got and all(r[c] == f"mine {r.doc_id or 0} {c}" for r in got for c in HELPERS)
+
+
 def by_id(df, key="doc_id"):
     out = {}
     for r in df.collect():

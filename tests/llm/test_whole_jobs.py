@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 
-from fieldloom.llm import digests, findings, secrets
+from fieldloom.llm import digests, findings, line_windows, secrets, url_rules
 from fieldloom.llm.textbytes import slices
 
 R = random.Random(21)
@@ -73,3 +74,22 @@ def test_chains_of_assignments_take_linear_room():
     text = b"a=b:" * 20_000
     starts, ends, _ = secrets.candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert ends.max() == len(text) and (ends - starts).sum() <= 300 * len(text)
+
+
+def test_many_url_rules_in_small_lots(spark, monkeypatch):
+    rules = [f"*/{k}/*" for k in range(0, 3000, 7)] + ["@*keep*"]
+    rows = [(k, f"http://h.example/{k}/{'keep' * (k % 5 == 0)}") for k in range(200)] + [(200, ""), (201, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    want = sorted(map(tuple, url_rules.filter_urls(pages, rules).collect()))
+    assert [r[0] for r in want if r[3]] == [k for k in range(0, 200, 7) if k % 5]
+    monkeypatch.setattr(url_rules, "STATES", 1 << 14)
+    assert sorted(map(tuple, url_rules.filter_urls(pages, rules).collect())) == want
+
+
+def test_long_copies_lose_their_lines_in_linear_time(spark):
+    text = "\n".join(f"line {k}" for k in range(100_000))
+    rows = [(1, text), (2, "own\n" + text + "\nend"), (3, text + "\nmore"), (3, "a\nb")]
+    began = time.monotonic()
+    got = {(r.doc_id, r.removed_lines): r.clean_text for r in line_windows.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 0): text, (2, 100_000): "own\nend", (3, 100_000): "more", (3, 2): ""}
+    assert time.monotonic() - began < 60
