@@ -8,7 +8,8 @@ full sequences and a rest, so all of its tokens are packed.
 
 Crossover injects whole well-filled bins of one parent into the other, removes the bins that
 then hold duplicates, and best-fits the documents that were displaced. Fitness is the number
-of bins, then the mean squared fill.
+of bins, then the mean squared fill: at the least number of bins, evolution goes on to gather
+what room is left into few bins, and only ends early once all of it is in one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 2
 POPULATION = 4
-GENERATIONS = 10
+GENERATIONS = 40
 ELITE = 2
+#: Problems that a task solves, one after the other.
+PROBLEMS = 2
 
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, assign: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -79,6 +82,13 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
     return _compact(child)
 
 
+def ideal(sizes: np.ndarray, capacity: int) -> tuple[int, float]:
+    """The fitness that none can surpass: full bins, and one that holds the rest."""
+    full, rest = divmod(int(sizes.sum()), capacity)
+    bins = max(1, full + (rest > 0))
+    return bins, -(full + (rest / capacity) ** 2) / bins
+
+
 def evolve(sizes: np.ndarray, capacity: int, seed: int, start: list[np.ndarray], generations: int = GENERATIONS) -> list[np.ndarray]:
     """The best individuals, best first. ``start``: individuals to begin with."""
     rng = np.random.default_rng(seed)
@@ -89,20 +99,21 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, start: list[np.ndarray],
         best_fit(sizes, np.argsort(-sizes * (1 + noise * rng.standard_normal(len(sizes))), kind="stable"), capacity, assign, none)
         return _compact(assign)
 
-    bound = max(1, -(-int(sizes.sum()) // capacity))
+    goal = ideal(sizes, capacity)
+    done = lambda f: f[0] <= goal[0] and f[1] <= goal[1] + 1e-12
     population = [*start] or [fresh(0.0)]
     scored = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(population)), key=lambda x: x[:2])
-    while len(scored) < POPULATION and scored[0][0][0] > bound:
-        p = fresh(0.15)
+    while len(scored) < POPULATION and not done(scored[0][0]):
+        p = fresh(0.1 * len(scored))
         scored.append((fitness(sizes, p, capacity), len(scored), p))
     scored.sort(key=lambda x: x[:2])
     for g in range(generations):
-        if scored[0][0][0] <= bound or len(scored) < 2:
+        if done(scored[0][0]) or len(scored) < 2:
             break
         i, j = rng.choice(len(scored), 2, replace=False)
         child = crossover(scored[i][2], scored[j][2], sizes, capacity, rng)
         f = fitness(sizes, child, capacity)
-        if f < scored[-1][0]:
+        if f < scored[-1][0] and all(f != other for other, *_ in scored):  # an equal one adds nothing to the population
             scored[-1] = (f, 100 + g, child)
             scored.sort(key=lambda x: x[:2])
     return [p for _, _, p in scored[:ELITE]]
@@ -136,29 +147,40 @@ def pack(
     A document counts ``ceil(length / 4)`` tokens, cut into pieces of ``capacity`` and a rest.
 
     * null text and empty text: one piece of 0 tokens, in some bin;
-    * null identifiers and repeated rows: packed like any other row;
+    * null identifiers and repeated rows: packed like any other row; where rows of one identifier
+      and length would overfill a block, its rows are spread over several by their place in the input;
     * ties: individuals of the same fitness by age, so the result follows from the input rows;
+    * very long texts: cut into full sequences and a rest, no token is left out;
     * empty table: empty result; other columns are ignored.
     """
     items = (
         docs.select(F.col(id_col).alias("doc_id"), F.ceil(F.coalesce(F.length(text_col), F.lit(0)) / 4).cast("bigint").alias("n"))
         .withColumn("full", F.greatest(F.floor((F.col("n") - 1) / capacity), F.lit(0)).cast("int"))
         .withColumn("rest", (F.col("n") - F.col("full") * capacity).cast("int"))
+        .withColumn("row", F.monotonically_increasing_id())
     )
     items = cut(items)
     blocks = max(1, -(-items.count() // block))
     spread = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "n", F.lit("pack")), F.lit(blocks)))
+    # Only repeated rows make a block much larger than the mean: such a block is several.
+    crowded = spread.groupBy("block").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * block)
+    spread = spread.join(crowded, "block", "left").withColumn(
+        "block", F.when(F.col("rows").isNull(), F.col("block")).otherwise(F.col("block") + blocks * (1 + F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / block))))
+    )
     problems = cut(
         spread.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rest", "doc_id", "full"))).alias("items"))
     )
     seeds = problems.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("items.rest").alias("sizes"))
-    seeds = seeds.repartition("block", "island")
+    # A given number of partitions isn't coalesced for their few bytes: the work in them is large.
+    tasks = max(1, min(problems.count() * islands // PROBLEMS, 1 << 15))
+    seeds = seeds.repartition(tasks, "block", "island")
     empty = F.lit(None).cast("array<array<int>>")
     first = cut(seeds.withColumn("start", empty).mapInArrow(_epoch(capacity, 1), _RESULT))
     ring = Window.partitionBy("block").orderBy("island")
     elite = F.coalesce(F.lead("plans").over(ring), F.first("plans").over(ring))
     moved = first.select("block", "island", F.concat("plans", F.slice(elite, 1, 1)).alias("start"))
-    second = seeds.join(moved, ["block", "island"]).select("block", "island", "sizes", "start").mapInArrow(_epoch(capacity, 2), _RESULT)
+    again = seeds.join(moved, ["block", "island"]).select("block", "island", "sizes", "start").repartition(tasks, "block", "island")
+    second = again.mapInArrow(_epoch(capacity, 2), _RESULT)
     best = cut(second).groupBy("block").agg(F.min_by("plans", F.struct("bins", "fill", "island")).alias("plans"))
     rows = problems.join(best, "block").select("block", F.inline(F.arrays_zip("items", F.element_at("plans", 1).alias("plan"))))
     rows = rows.toDF("block", "item", "slot")

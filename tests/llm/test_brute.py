@@ -269,6 +269,87 @@ def test_packing_is_near_the_lower_bound():
     assert len(fill) <= 1.03 * -(-sizes.sum() // 2048)
 
 
+def document_sizes(n: int, capacity: int, seed: int) -> np.ndarray:
+    """Rests of documents with a long tail, as the query has them."""
+    r = np.random.default_rng(seed)
+    tokens = np.minimum(r.lognormal(5.3, 1, n), 30_000).astype(np.int64) + 1
+    return np.sort(tokens - (tokens - 1) // capacity * capacity)
+
+
+def test_generations_run_and_improve_where_best_fit_reaches_the_least_bins(monkeypatch):
+    sizes = next(s for s in (document_sizes(3000, 2048, k) for k in range(20)) if -(-s.sum() // 2048) * 2048 - s.sum() > 400)  # room to gather
+    made, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: made.append(cross(*a)) or made[-1])
+    first = packing.evolve(sizes, 2048, 1, [], 0)[0]
+    assert not made and packing.fitness(sizes, first, 2048)[0] == packing.ideal(sizes, 2048)[0]
+    best = packing.evolve(sizes, 2048, 1, [])[0]
+    assert len(made) == packing.GENERATIONS
+    assert packing.ideal(sizes, 2048) <= packing.fitness(sizes, best, 2048) < packing.fitness(sizes, first, 2048)
+    again = packing.evolve(sizes, 2048, 2, [best, packing.evolve(sizes, 2048, 7, [])[0]])[0]
+    assert packing.fitness(sizes, again, 2048) <= packing.fitness(sizes, best, 2048)
+
+
+def least_bins(sizes: tuple[int, ...], capacity: int) -> int:
+    """By trying all assignments, larger items first."""
+    best = len(sizes)
+
+    def put(k: int, fill: list[int]) -> None:
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if k == len(sizes):
+            best = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + sizes[k] <= capacity and fill[b] not in fill[:b]:
+                fill[b] += sizes[k]
+                put(k + 1, fill)
+                fill[b] -= sizes[k]
+        put(k + 1, [*fill, sizes[k]])
+
+    put(0, [])
+    return best
+
+
+def test_small_sets_are_packed_as_well_as_by_brute_force():
+    r = random.Random(4)
+    for seed in range(25):
+        sizes = np.sort(np.array([r.randint(15, 70) for _ in range(11)]))
+        best = packing.evolve(sizes, 100, seed, [])[0]
+        assert packing.fitness(sizes, best, 100)[0] == least_bins(tuple(sorted(sizes.tolist(), reverse=True)), 100)
+
+
+def test_packing_query_packs_every_token_once(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(k if k % 29 else None, "x" * r.choice((0, 7, 900, 5000, 8192, 40_000))) for k in range(300)] + [(7, "repeated")] * 4 + [(8, None)]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}), tmp_path / "documents.parquet")
+    got, fill = {}, {}
+    for x in queries.op6_best_fit_packing(spark, str(tmp_path)).collect():
+        got.setdefault((x.doc_id, x.piece), []).append(x.tokens)
+        fill[x.bin] = fill.get(x.bin, 0) + x.tokens
+    want = {}
+    for i, t in rows:
+        n = -(-len(t or "") // 4)
+        for piece in range(max(1, -(-n // 2048))):
+            want.setdefault((i, piece), []).append(min(2048, n - piece * 2048))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    rests = np.array([v for vs in want.values() for v in vs if v < 2048])
+    full = sum(v == 2048 for vs in want.values() for v in vs)
+    large = int((rests > 1024).sum())  # no two of these fit in a bin
+    assert max(fill.values()) <= 2048 and len(fill) - full <= max(large, packing.ideal(rests, 2048)[0]) + 1
+
+
+def test_rows_of_one_key_are_spread_over_blocks(spark, monkeypatch):
+    rows = [(None, "x" * 40)] * 900 + [(k, "y" * 400) for k in range(100)]
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    made = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), block=50).collect()
+    assert len(made) == 1000 and sum(r.tokens for r in made) == 900 * 10 + 100 * 100
+    blocks = {}
+    for r in made:
+        blocks[r.bin.split("-")[1]] = blocks.get(r.bin.split("-")[1], 0) + 1
+    assert max(blocks.values()) <= 150
+
+
 def test_crossover_keeps_every_document_within_capacity():
     r = np.random.default_rng(6)
     sizes = r.integers(0, 900, 300)
