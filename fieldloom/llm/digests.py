@@ -29,8 +29,8 @@ from fieldloom.llm.shared import cut
 from fieldloom.llm.textbytes import slices, span_hash
 
 WINDOW = 32
-FRAME = 32
-POINTS = 8
+FRAME = 16
+POINTS = 3
 BITS = 2048
 HASHES = 5
 PER_FILTER = 160
@@ -41,6 +41,8 @@ LOWEST = 100
 LEVELS = 1001
 #: Reference digests that one pass compares with; more take several passes.
 REFERENCE_BYTES = 8 << 20
+#: Filters of two sides that are compared at a time.
+TILE = (64, 4096)
 #: A digest of fewer features is not told from chance: a full filter has a third of its bits set,
 #: so one feature is found in it by chance once in 240 times, three once in 10**7.
 LEAST_FEATURES = 3
@@ -151,7 +153,7 @@ def _joined(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The share, from 0 (chance) to 1, of the bits of each filter in ``a`` that each in ``b`` has too."""
     na, nb = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None], np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :]
-    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    both = np.zeros((len(a), len(b)), dtype=np.uint16)
     for w in range(a.shape[1]):
         both += np.bitwise_count(a[:, w, None] & b[None, :, w])
     chance = na * nb / BITS
@@ -159,11 +161,24 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _held(x: np.ndarray, ax: np.ndarray, y: np.ndarray, ay: np.ndarray) -> np.ndarray:
-    """For each digest of ``x`` and each of ``y``, the mean over the former's bits of its filters' best overlap with the latter."""
+    """For each digest of ``x`` and each of ``y``, the mean over the former's bits of its filters' best overlap with the latter.
+
+    ``TILE`` filters of either side are compared at a time, however many a digest has.
+    """
     u, au = _joined(y, ay)
-    best = np.maximum.reduceat(overlaps(x, u), au[:-1], axis=1)
     bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    return np.add.reduceat(best * bits[:, None], ax[:-1], axis=0) / np.add.reduceat(bits, ax[:-1])[:, None]
+    owner, held_by = np.repeat(np.arange(len(ax) - 1), np.diff(ax)), np.repeat(np.arange(len(au) - 1), np.diff(au))
+    total = np.zeros((len(ax) - 1, len(au) - 1))
+    for a in range(0, len(x), TILE[0]):
+        own, best = owner[a : a + TILE[0]], np.zeros((min(TILE[0], len(x) - a), len(au) - 1))
+        for c in range(0, len(u), TILE[1]):
+            by = held_by[c : c + TILE[1]]
+            first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            some = np.maximum.reduceat(overlaps(x[a : a + TILE[0]], u[c : c + TILE[1]]), first, axis=1)
+            best[:, by[first]] = np.maximum(best[:, by[first]], some)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total[own[first]] += np.add.reduceat(best * bits[a : a + TILE[0], None], first, axis=0)
+    return total / np.add.reduceat(bits, ax[:-1])[:, None]
 
 
 def scores(digests: list[bytes], reference: list[bytes]) -> np.ndarray:
@@ -241,7 +256,10 @@ def match(digests: DataFrame, reference: DataFrame, least: float = MATCH) -> Dat
     """``digests`` with ``overlap``, that with the most similar row of ``reference(item_id, n_features, digest)``, and ``nearest``, that row's identifier if the overlap is at least ``least``; ``matches`` has the identifiers of all rows whose overlap is, ascending.
 
     Rows of either side with fewer than ``LEAST_FEATURES`` features aren't compared: their
-    ``nearest``, ``overlap`` and ``matches`` are null, as they are if the reference has no other rows. Ties
+    ``nearest``, ``overlap`` and ``matches`` are null, as they are if the reference has no other rows or
+    ``digests`` comes of null or empty texts. Rows with a null identifier and repeated rows of ``digests``
+    pass as they are; those of the reference with a null one aren't compared. Digests of very long texts
+    are compared in tiles; an empty table gives an empty result; other columns must not be there. Ties
     go to the least identifier; repeated identifiers are one in ``matches``. The reference is held in memory in parts of ``REFERENCE_BYTES``: if it is
     larger, each part is a pass of its own over the digests and the best of all parts counts.
     """

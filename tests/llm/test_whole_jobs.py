@@ -36,6 +36,25 @@ def test_digests_find_passages_wherever_they_lie_in_long_texts():
         assert not any(digests.compare(d, p) >= digests.MATCH for d in made[63:])
 
 
+def test_digests_are_compared_in_tiles(monkeypatch):
+    made = chains([prose(n) for n in (30, 700, 60, 1500)])
+    ref = chains([prose(40), prose(900), prose(20)]) + [made[2]]
+    want = digests.scores(made, ref)
+    assert want[2, 3] == 1.0 and (np.delete(want[:, 3], 2) < digests.MATCH).all()
+    monkeypatch.setattr(digests, "TILE", (3, 5))
+    assert np.allclose(digests.scores(made, ref), want)
+
+
+def test_short_passages_are_found(spark):
+    items = [(k, prose(17)) for k in range(40)]  # about 110 characters
+    rows = [(k, " ".join((prose(120), items[k][1], prose(120)))) for k in range(40)] + [(k, prose(250)) for k in range(40, 120)]
+    docs, ref = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rank = digests.ranks(digests.level_counts(docs))
+    found = digests.match(digests.fingerprint(docs, rank), digests.fingerprint(ref, rank, id_col="item_id").withColumnRenamed("doc_id", "item_id")).collect()
+    assert sum(r.doc_id in (r.matches or []) for r in found) >= 37
+    assert not any(set(r.matches or []) - {r.doc_id} for r in found)
+
+
 def test_digests_name_every_passage_of_a_document(spark, monkeypatch):
     items = [(k, prose(40)) for k in range(12)]
     items += [(20, items[3][1]), (3, items[3][1])]  # equal passages, and a repeated row
