@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     blocks = np.unique(np.stack([row[marked], ordinal[marked] // BLOCK_WORDS]), axis=1)[0] if marked.any() else np.zeros(0, np.int64)
     out[:, 3] = np.bincount(blocks, minlength=rows) / np.maximum(1, -(-n // BLOCK_WORDS))
     you = _lookup(_SECOND_HASHES, whole) >= 0
-    if found.any() and you.any():
+    if marked.any() and you.any():
         ys, hs = np.flatnonzero(you), np.flatnonzero(marked)
         k = np.searchsorted(ys, hs)
         near = np.zeros(len(hs), dtype=bool)
@@ -123,9 +124,12 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     letter, odd = _LETTER[data], digit | _SIGN[data]
     inside = np.zeros(len(data), dtype=bool)
     inside[1:-1] = letter[:-2] & odd[1:-1] & letter[2:]
+    held = offs[:-1][np.diff(offs) > 0]
+    inside[held] = inside[offs[1:][np.diff(offs) > 0] - 1] = False  # neighbours are other texts there
     out[:, 12] = share(inside)
     again = np.zeros(len(data), dtype=bool)
     again[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+    again[held] = again[np.minimum(held + 1, len(data) - 1)] = False
     out[:, 13] = share(again)
     out[:, 14] = np.log1p(n)
     return out
@@ -149,15 +153,27 @@ def _telling(sets: list[np.ndarray], y: np.ndarray, least_docs: int = 3, least_o
     return h[keep], odds[keep]
 
 
-def _hash_sets(texts: list[str]) -> list[list[np.ndarray]]:
-    """The distinct hashes of each text: of words, then of beginnings."""
-    sets: list[list[np.ndarray]] = [[] for _ in range(1 + len(PREFIXES))]
-    for lo, hi, data, offs in slices(pa.array(texts, pa.large_string())):
-        _, _, row, whole, begun = word_hashes(data, offs)
-        at = np.searchsorted(row, np.arange(hi - lo + 1))
-        for table, h in zip(sets, (whole, *begun)):
-            table.extend(np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:]))
-    return sets
+def _hash_sets(column: pa.Array, toxic: np.ndarray, least_docs: int = 3) -> list[list[np.ndarray]]:
+    """The distinct hashes of each text, of words, then of beginnings; only those that ``least_docs`` toxic texts hold, as no others can be telling."""
+
+    def sets(texts: pa.Array, known: list[np.ndarray] | None) -> list[list[np.ndarray]]:
+        out: list[list[np.ndarray]] = [[] for _ in range(1 + len(PREFIXES))]
+        for lo, hi, data, offs in slices(texts):
+            _, _, row, whole, begun = word_hashes(data, offs)
+            for k, (table, h) in enumerate(zip(out, (whole, *begun))):
+                r = row
+                if known is not None:
+                    here = _lookup(known[k], h) >= 0
+                    h, r = h[here], row[here]
+                at = np.searchsorted(r, np.arange(hi - lo + 1))
+                table.extend(np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:]))
+        return out
+
+    often = []
+    for table in sets(column.filter(pa.array(toxic)), None):
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *table]), return_counts=True)
+        often.append(h[n >= least_docs])
+    return sets(column, often)
 
 
 def fit_lexicon(sets: list[list[np.ndarray]], y: np.ndarray, use: np.ndarray) -> Lexicon:
@@ -183,21 +199,21 @@ class Toxicity:
         return np.where(np.diff(offs) > 0, p, 0.0)
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Toxicity:
-    """Distinct texts with labels, in any order; the folds are by content hash."""
+def train(texts: list[str] | pa.Array, toxic: np.ndarray) -> Toxicity:
+    """Distinct texts with labels, in any order; the folds are by the hash of a text's last 64 characters and its length."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     toxic = np.asarray(toxic, dtype=bool)
     prior = float(toxic.mean()) if len(toxic) else 0.0
-    fold = np.array([text_hash(t[-64:] + str(len(t))) % FOLDS if t else 0 for t in texts], dtype=np.int64)
-    sets, everything = _hash_sets(texts), np.ones(len(texts), dtype=bool)
+    fold = np.array([text_hash(t[-64:] + str(len(t))) % FOLDS if t else 0 for t in (x.as_py() for x in column)], dtype=np.int64)
+    sets, everything = _hash_sets(column, toxic), np.ones(len(column), dtype=bool)
     lexicon = fit_lexicon(sets, toxic, everything)
     if any(min(toxic[m].sum(), (~toxic[m]).sum()) < 3 for m in (fold == k for k in range(FOLDS))):
         return Toxicity(lexicon, None, prior)
-    x = np.zeros((len(texts), len(FEATURES)))
-    column = pa.array(texts, pa.large_string())
+    x = np.zeros((len(column), len(FEATURES)))
     for k in range(FOLDS):
         own = fit_lexicon(sets, toxic, fold != k)
         x[fold == k] = np.concatenate([features(d, o, own) for _, _, d, o in slices(column.filter(pa.array(fold == k)))])
-    margin = np.zeros(len(texts))
+    margin = np.zeros(len(column))
     for k in range(FOLDS):
         margin[fold == k] = boost(x[fold != k], toxic[fold != k].astype(float)).margin(x[fold == k])
     model = boost(x, toxic.astype(float))
@@ -212,17 +228,16 @@ def train_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     some = (
-        known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
-        .orderBy(F.xxhash64("__id", F.lit("toxicity")), "__id").limit(rows)
-    )
-    rows_ = (
-        docs.where(F.col(text_col).isNotNull()).join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-        .select(F.col(text_col).alias("t"), "__toxic").groupBy("t").agg(F.max("__toxic").alias("y"))
-        .toArrow()
+        known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+        .orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(rows)
     )
-    texts, y = rows_.column("t").to_pylist(), rows_.column("y").to_pylist()
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    return train([texts[i] for i in order], np.array([y[i] > 0 for i in order], dtype=bool))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    sample = texts.join(F.broadcast(some), "id").groupBy("t").agg(F.max("y").alias("y")).toArrow()
+    order = pc.sort_indices(sample, [("t", "ascending")])
+    column = sample.column("t").take(order).cast(pa.large_string()).combine_chunks()
+    y = sample.column("y").take(order).to_numpy() > 0
+    del sample
+    return train(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks or [pa.array([], pa.large_string())]), y)
 
 
 def _score(model: Toxicity, reject: float, keep_only: bool, text_at: int):
@@ -253,5 +268,9 @@ def classify(docs: DataFrame, model: Toxicity, reject: float = REJECT, id_col: s
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, reject: float = REJECT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` doesn't call toxic, with all columns."""
+    """The rows of ``docs`` that ``classify`` doesn't call toxic, with all columns, of any names.
+
+    Rows with a null or empty text stay; each row is judged on its own whole text, so null identifiers,
+    ties and repeated rows make no difference; an empty table gives an empty result.
+    """
     return docs.mapInArrow(_score(model, reject, True, docs.columns.index(text_col)), docs.schema)

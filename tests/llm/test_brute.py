@@ -391,6 +391,76 @@ def test_toxicity_held_out():
     assert ((p >= toxicity.REJECT) & ~y).sum() <= 0.02 * (~y).sum()
 
 
+def features_brute(text: str, lexicon: toxicity.Lexicon) -> list[float]:
+    """One text, word by word."""
+    b = text.encode()
+    if not b:
+        return [0.0] * len(toxicity.FEATURES)
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)]
+    fold = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), b[i:j]) for i, j in spans]
+    h = lambda w: int(toxicity.span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    odds = dict(zip(lexicon.words.tolist(), lexicon.odds.tolist()))
+    tables = [set(t.tolist()) for t in lexicon.beginnings]
+    found = [h(w) in odds for w in fold]
+    early = [any(len(w) > k and h(w[:k]) in t for k, t in zip(toxicity.PREFIXES, tables)) for w in fold]
+    you = [w.decode(errors="replace") in toxicity.SECOND for w in fold]
+    n, size = len(fold), len(b)
+    per, marked = max(n, 1), [f or e for f, e in zip(found, early)]
+    near = sum(m and any(you[max(0, k - 8) : k + 9]) for k, m in enumerate(marked))
+    sign = lambda c: c > 32 and not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128)
+    letter = lambda c: 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    return [
+        sum(found) / per, sum(early) / per, sum(odds[h(w)] for w, f in zip(fold, found) if f) / per,
+        len({k // 64 for k, m in enumerate(marked) if m}) / max(1, -(-n // 64)), near / per, sum(you) / per,
+        sum(65 <= c < 91 for c in b) / size, sum(j - i > 2 and re.fullmatch(rb"[A-Z]+", b[i:j]) is not None for i, j in spans) / per,
+        b.count(b"!") / size, b.count(b"?") / size, sum(map(sign, b)) / size, sum(48 <= c < 58 for c in b) / size,
+        sum(letter(b[k - 1]) and (sign(b[k]) or 48 <= b[k] < 58) and letter(b[k + 1]) for k in range(1, size - 1)) / size,
+        sum(b[k] == b[k - 1] == b[k - 2] for k in range(2, size)) / size, np.log1p(n),
+    ]
+
+
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """Scores of the whole query: features word by word, trees branch by branch, calibration by interpolation."""
+    r = random.Random(15)
+    rows = []
+    for k in range(260):
+        words = prose(ENGLISH, r.choice((2, 40, 300)))
+        if k % 3 == 0:
+            words[r.randrange(len(words))] += r.choice((" you MORON!!!", " idiot, du", " w0rthless scum you", " y-o-u loser"))
+        rows.append((k if k % 50 else None, " ".join(words)))
+    rows += [(1000, None), (1001, ""), (1002, "..."), (3, "repeated id")]
+    labels = [(k, int(k % 3 == 0)) for k in range(1, 200)] + [(None, 1), (5, None)]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in labels], pa.int64()), "toxic": pa.array([y for _, y in labels], pa.int32())}), tmp_path / "labels.parquet")
+    got = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    read = lambda name: spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+    model = toxicity.train_from(read("documents"), read("labels"))
+    (_, _, data, offs), = toxicity.slices(pa.array([t or "" for _, t in rows]))
+    assert np.allclose(toxicity.features(data, offs, model.lexicon), [features_brute(t or "", model.lexicon) for _, t in rows], atol=1e-12)
+    want = []
+    for i, t in rows:
+        x, margin = features_brute(t or "", model.lexicon), model.model.base
+        for tree in model.model.trees:
+            node = 0
+            for _ in range(tree.depth):
+                node = 2 * node + (2 if x[tree.feature[node]] > tree.edge[node] else 1)
+            margin += tree.value[node - (2**tree.depth - 1)]
+        p = float(np.interp(margin, model.model.x_cal, model.model.y_cal)) if t else 0.0
+        want.append((repr(i), round(p, 6), p >= toxicity.REJECT))
+    assert sorted((repr(x.doc_id), round(x.probability, 6), x.toxic) for x in got) == sorted(want)
+    assert 60 < sum(w[2] for w in want) < 110
+
+
+def test_lexicon_of_frequent_hashes_is_that_of_all():
+    r = random.Random(16)
+    texts = [" ".join(prose(ENGLISH[:80], 30) + (["vile", "vileness"] if k % 4 == 0 else [])) for k in range(80)]
+    y = np.array([k % 4 == 0 for k in range(80)])
+    column, use = pa.array(texts, pa.large_string()), np.array([r.random() < 0.7 for _ in texts])
+    some, every = (toxicity.fit_lexicon(toxicity._hash_sets(column, y, n), y, use) for n in (3, 0))
+    assert some.words.tolist() == every.words.tolist() and some.odds.tolist() == every.odds.tolist()
+    assert [b.tolist() for b in some.beginnings] == [b.tolist() for b in every.beginnings] and len(some.words) > len(toxicity.SEEDS)
+
+
 def test_isotonic_is_monotone_and_calibrated():
     r = np.random.default_rng(2)
     s = np.round(r.normal(size=500), 1)
