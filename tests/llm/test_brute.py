@@ -543,6 +543,54 @@ def test_secrets_held_out():
     assert hit[y == 0].mean() <= 0.12
 
 
+def secrets_brute(text: str, scan: secrets.Scanner) -> list[tuple[int, int, str, float]]:
+    """Candidates from every place, each piece convolved position by position, findings within findings compared pair by pair."""
+    b, spans = text.encode(), set()
+    spans |= {m.span() for m in re.finditer(rb"[A-Za-z0-9+/_.=~:@%-]{12,}", b)}
+    word = rb"(?:password|passwd|passphrase|secret|secret_key|token|api_?key|private_key|access_key|credentials?|authorization|bearer|basic)"
+    at = reach = 0
+    while m := re.compile(rb"[:=]>?[ \t]*|(?i:" + word + rb")[\"']?[ \t]+").search(b, at):
+        k = m.end()
+        for shape in (rb'"([^"\n]+)"', rb"'([^'\n]+)'", rb"[\"']?([^\s:=\"'][^\s\"']*)"):
+            if v := re.compile(shape).match(b, k):
+                lo, hi = v.span(1)
+                if lo < reach and hi - lo > secrets.NESTED:
+                    hi = lo + secrets.NESTED
+                    while b[hi] & 0xC0 == 0x80:
+                        hi -= 1
+                reach = max(reach, hi)
+                spans.add((lo, hi))
+                at = k + (b[k : k + 1] in (b'"', b"'") and shape[0] in b"\"'[" and v.start(1) > k)
+                break
+        else:
+            at = m.start() + 1
+            continue
+        at = max(at, m.end())
+    net, hits = scan.net, []
+    for lo, hi in sorted(spans):
+        best = -np.inf
+        for p in range(lo, max(lo + 1, hi), secrets.PIECE):
+            codes = []
+            for q in range(p - secrets.BEFORE, p + secrets.PIECE + secrets.AFTER):
+                codes.append(int(secrets._CLASS[b[q]]) + secrets.CLASSES * (lo <= q < hi) if 0 <= q < len(b) else 2 * secrets.CLASSES)
+            conv = [np.maximum(net.bias + sum(net.table[w][codes[k + w]] for w in range(secrets.WIDTH)), 0) for k in range(len(codes) - secrets.WIDTH + 1)]
+            best = max(best, float(np.concatenate([np.max(conv, axis=0), np.mean(conv, axis=0)]) @ net.dense + net.dense_bias))
+        if best >= scan.threshold:
+            hits.append((lo, hi, best))
+    inner = [x for x in hits if not any(y[:2] != x[:2] and x[0] <= y[0] and y[1] <= x[1] for y in hits)]
+    return [(len(b[:lo].decode()), len(b[lo:hi].decode()), b[lo:hi].decode(), round(float(np.interp(s, scan.x_cal, scan.y_cal)), 5)) for lo, hi, s in inner]
+
+
+def test_secret_query_against_brute_force(spark, tmp_path, monkeypatch):
+    scan = secrets.train(findings.labelled(3000))
+    monkeypatch.setattr(secrets, "default_scanner", lambda: scan)
+    texts = [t for t, *_ in findings.labelled(160, seed=101)]
+    texts = ["\n".join(texts[k : k + 4]) for k in range(0, 160, 4)] + [None, "", "ä = ü", 'k: "ö" ' * 3, "x=" * 200 + "y", "token='" + "pä$" * 30 + "'"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = sorted((r.doc_id, r.start, r.length, r.finding, round(r.probability, 5)) for r in queries.op1_secret_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((i, *f) for i, t in enumerate(texts) if t for f in secrets_brute(t, scan)) and len(got) > 60
+
+
 def test_threshold_keeps_recall():
     score, y = np.arange(100.0), np.repeat([0.0, 1.0], 50)
     assert 49 < secrets.choose_threshold(score, y, 1.0) < 50
