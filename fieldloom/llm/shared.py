@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.checkpoint import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "connected_components", "cut", "fresh"]
+__all__ = ["checkpoint_dir", "connected_components", "cut", "delete", "fresh", "scratch"]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever file system it is in; it may be gone already."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables checkpointed within are removed at the end: what was made from them must be written by then."""
+    before = checkpoint_dir(spark)
+    inner = f"{before}/scratch-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(inner)
+    try:
+        yield
+    finally:
+        delete(spark, inner)
+        # setCheckpointDir would go to a new folder below.
+        getattr(spark.sparkContext._jsc.sc(), "checkpointDir_$eq")(spark._jvm.scala.Some(before))
 
 
 def fresh(df: DataFrame, name: str) -> str:

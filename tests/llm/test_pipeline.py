@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from fieldloom.llm import packing
+from fieldloom.llm import packing, shared
 
 R = random.Random(21)
 WORDS = ["".join(R.choices("etaoinshrdlu", k=R.randint(2, 9))) for _ in range(600)]
@@ -98,9 +99,25 @@ def test_run_equals_the_stages(spark, planted, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, table.collect()))
 
 
+def test_run_leaves_nothing_but_its_result(spark, planted, tmp_path):
+    docs, labels, *_ = planted
+    kept = Path(shared.checkpoint_dir(spark).removeprefix("file:"))
+    before = {p for p in kept.rglob("*") if p.is_dir()}
+    out = corpus_pipeline.run(spark, write(tmp_path, docs, labels))
+    new = {p for p in kept.rglob("*") if p.is_dir()} - before
+    assert {p.name for p in new if p.name.startswith(("rdd-", "scratch-"))} == set()
+    (folder,) = [p for p in new if p.name.startswith("pipeline-")]
+    assert [p.name for p in folder.iterdir()] == ["4"] and out.count() > 0
+    assert shared.checkpoint_dir(spark).removeprefix("file:") == str(kept)
+    corpus_pipeline._forget(spark, str(folder))
+    assert not folder.exists()
+
+
+
+
 def test_awkward_tables(spark, tmp_path):
     docs = [{"doc_id": i, "text": t, "source": s} for i, t, s in [(1, "a b c d", None), (1, "a b c d", None), (None, None, None), (None, "x y", "s"), (2, None, "s"), (3, "", "s"), (4, prose(60_000), "s"), (5, "a b c d", "t")]]
-    folder = write(tmp_path, docs, [(1, None), (None, 1)], extra=("group_id", "tokens", "finish", "bin", "__x", "kept_id"))
+    folder = write(tmp_path, docs, [(1, None), (None, 1)], extra=("group_id", "tokens", "finish", "bin", "__x", "kept_id", "__gone", "__taken", "__norm", "__hash", "__head", "rest", "id", "first"))
     table = spark.read.parquet(f"{folder}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         now = stage(spark, table, folder)
