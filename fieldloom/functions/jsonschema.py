@@ -141,7 +141,8 @@ def apply_changes(schema: Json, changes: Json, strictly_additive: bool = False)
     props = out.setdefault("properties", {})
     need = set(out.get("required", []))
     for name, prop in (changes.get("add_fields") or {}).items():
-        props.setdefault(name, prop)
+        if isinstance(prop, dict):
+            props.setdefault(name, prop)
     if not strictly_additive:
         for name in changes.get("remove_fields") or []:
             props.pop(name, None)

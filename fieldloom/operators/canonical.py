@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.errors import ProviderError
 from fieldloom.functions.plain import strip_fences
 from fieldloom.functions.text import sanitize, strip_blank
 from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.mapping import frequencies
-from fieldloom.providers import LLMClient
+from fieldloom.operators.numbering import numbered
+from fieldloom.providers import LLMClient, in_flight
 
 #: Groups are ``(ord, canonical, members, rationale)``; ``members`` in order.
 GROUPS = "ord bigint, canonical string, members array<string>, rationale string"
@@ -115,25 +115,34 @@ class LLMCanonicalization:
     hierarchical_merge: bool = True
     rounds: int = 1
     field_metadata: dict | None = None
+    concurrency: int = 8
 
     def _call(self, batches: DataFrame, field: str) -> DataFrame:
         """Groups for each row of ``(batch, values)``."""
-        client, metadata = self.client, self.field_metadata
+        client, metadata, at_once = self.client, self.field_metadata, self.concurrency
+
+        def ask(item: tuple) -> list[tuple]:
+            b, values = int(item[0]), list(item[1])
+            try:
+                groups = parse_groups(client.complete([{"role": "user", "content": group_prompt(values, field, metadata)}]).content, values)
+            except Exception:  # noqa: BLE001 - the values of a batch whose call fails stay as they are
+                groups = [(v, [v], "") for v in values]
+            return [(b * 100_000 + k, *g) for k, g in enumerate(groups)]
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                rows = []
-                for b, values in zip(pdf.batch, pdf["values"]):
-                    values = list(values)
-                    try:
-                        groups = parse_groups(client.complete([{"role": "user", "content": group_prompt(values, field, metadata)}]).content, values)
-                    except (ProviderError, ValueError):
-                        groups = [(v, [v], "") for v in values]
-                    rows += [(int(b) * 100_000 + k, *g) for k, g in enumerate(groups)]
-                yield pd.DataFrame(rows, columns=["ord", "canonical", "members", "rationale"])
+                made = in_flight(ask, list(zip(pdf.batch, pdf["values"])), at_once)
+                yield pd.DataFrame([r for rows in made for r in rows], columns=["ord", "canonical", "members", "rationale"])
 
         return batches.mapInPandas(run, GROUPS)
 
+    @staticmethod
+    def _batches(rows: DataFrame, size: int, n: int, first: str, name: str) -> DataFrame:
+        """``(batch, values)``: runs of ``size`` of ``n`` names in their order."""
+        placed = rows.withColumn("r", F.col(first)).withColumn("batch", F.lit(0).cast("bigint")) if n <= size else numbered(rows, first, name).withColumn("batch", F.floor(F.col("r") / size))
+        lists = placed.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", F.col(name).alias("v")))).alias("v"))
+        return lists.select("batch", F.col("v.v").alias("values"))
+
     def normalize(self, values: DataFrame, context_field: str = "") -> DataFrame:
         freq = frequencies(values.withColumn("value", F.col("value")))
         clean = freq.select(sanitize(F.col("value")).alias("value"), "first_ord", "freq").groupBy("value").agg(F.min("first_ord").alias("first_ord"))
@@ -142,10 +151,8 @@ class LLMCanonicalization:
             none = values.sparkSession.createDataFrame([], GROUPS)
             return to_mapping(none, values, context_field)
         size = n if n <= self.max_values_per_prompt else self.batch_size
-        # Batches by order: the rank over distinct values of one field, which model calls bound anyway.
-        rank = F.row_number().over(Window.orderBy(F.coalesce("first_ord", F.lit(0)), "value")) - 1
-        numbered = clean.select("value", rank.alias("r")).withColumn("batch", F.floor(F.col("r") / size))
-        batches = numbered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "value"))).alias("v")).select("batch", F.col("v.value").alias("values"))
+        clean = clean.select("value", F.coalesce("first_ord", F.lit(0)).alias("first_ord"))
+        batches = self._batches(clean, size, n, "first_ord", "value")
         groups = self._call(batches.repartition("batch"), context_field)
         groups = cut(groups)  # each model call is made once
         if n > self.max_values_per_prompt:
@@ -155,8 +162,7 @@ class LLMCanonicalization:
                 count = names.count()
                 if count < 2:
                     break
-                ranked = names.withColumn("r", F.row_number().over(Window.orderBy("ord")) - 1).withColumn("batch", F.floor(F.col("r") / self.max_values_per_prompt))
-                again = ranked.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "canonical"))).alias("v")).select("batch", F.col("v.canonical").alias("values"))
+                again = self._batches(names, self.max_values_per_prompt, count, "ord", "canonical")
                 instructions = self._call(again, context_field).where(F.size("members") > 1).select("ord", "canonical", F.col("members").alias("merge"))
                 groups = merge_groups(merge_by_instructions(groups, cut(instructions)))
                 if groups.count() >= count:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.checkpoint import cut, versions
 from fieldloom.operators.mapping import DictionaryNormalization, clusters, dictionary_table, to_dictionary
 
 LEARN_AT = 0.80
@@ -62,7 +63,8 @@ class CascadeNormalization:
         steps = [(DictionaryNormalization(dictionary, case_insensitive=True), 1.0)] if dictionary else []
         steps += [(model, 0.80)] if model is not None else []
         steps += [(ontology, 0.90)] if ontology is not None else []
-        return cls([s for s, _ in steps], [t for _, t in steps] if use_confidence else None)
+        # Steps that a model or an index backs are read twice, for what they resolve and for what they don't: they are computed once.
+        return cls([s for s, _ in steps], [t for _, t in steps] if use_confidence else None, cut if model is not None or ontology is not None else None)
 
     def learn(self, result: DataFrame, min_confidence: float = LEARN_AT) -> CascadeNormalization:
         """A cascade that knows the result's mapping: merged into a leading dictionary, or put first as one."""
@@ -110,20 +112,8 @@ class LearnedDictionaryCache:
     path: str
     min_confidence: float = LEARN_AT
 
-    def _versions(self, spark) -> list[int]:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        done = []
-        for s in fs.listStatus(fs_path):
-            name = s.getPath().getName()
-            if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                done.append(int(name[2:]))
-        return sorted(done)
-
     def load_all(self, spark) -> DataFrame:
-        have = self._versions(spark)
+        have = versions(spark, self.path)
         if not have:
             return spark.createDataFrame([], "field string, raw string, canonical string, confidence double, source string")
         return spark.read.parquet(f"{self.path}/v={have[-1]}")
@@ -132,7 +122,7 @@ class LearnedDictionaryCache:
         """Adds a mapping; returns the new version."""
         spark = mapping.sparkSession
         new = mapping.select("field", "raw", "canonical", "confidence", F.lit(source).alias("source"))
-        version = (self._versions(spark) or [0])[-1] + 1
+        version = (versions(spark, self.path) or [0])[-1] + 1
         upsert_learned(self.load_all(spark), new, self.min_confidence).write.parquet(f"{self.path}/v={version}")
         return version
 

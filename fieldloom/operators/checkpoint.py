@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the folders ``v=N`` that were written to their end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def unprocessed(docs: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents whose identifier isn't among ``processed(doc_id)``; a missing one counts as empty text."""
     done = processed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__done")).distinct()

@@ -1,7 +1,7 @@
 """Chunking: documents to overlapping or bounded pieces with code-point offsets.
 
 All strategies return ``doc_ord, doc_id, chunk_id, chunk_index, char_start, char_end, content``
-for input ``doc_ord, doc_id, content``. Null content counts as empty.
+for input ``doc_ord, doc_id, content``; a column ``source`` of the input stays. Null content counts as empty.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ COLUMNS = ["doc_ord", "doc_id", "chunk_id", "chunk_index", "char_start", "char_e
 
 
 def _text(df: DataFrame) -> DataFrame:
-    return df.select("doc_ord", "doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    return df.select("doc_ord", "doc_id", F.coalesce("content", F.lit("")).alias("content"), *_source(df))
+
+
+def _source(df: DataFrame) -> list[str]:
+    return ["source"] if "source" in df.columns else []
 
 
 def chunk_fixed(docs: DataFrame, chunk_size: int = 4000, overlap: int = 200) -> DataFrame:
@@ -45,13 +49,13 @@ def chunk_fixed(docs: DataFrame, chunk_size: int = 4000, overlap: int = 200) ->
         F.when(long, F.col("k")).alias("chunk_index"),
         F.when(long, F.col("at")).alias("char_start"),
         F.when(long, F.least(F.col("at") + chunk_size, F.col("n"))).alias("char_end"),
-        F.when(long, F.substring("content", F.col("at") + 1, F.lit(chunk_size))).otherwise(F.col("content")).alias("content"),
+        F.when(long, F.substring("content", F.col("at") + 1, F.lit(chunk_size))).otherwise(F.col("content")).alias("content"), *_source(df),
     )
 
 
 def _whole(df: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int")
-    return df.select("doc_ord", "doc_id", F.col("doc_id").alias("chunk_id"), none.alias("chunk_index"), none.alias("char_start"), none.alias("char_end"), "content")
+    return df.select("doc_ord", "doc_id", F.col("doc_id").alias("chunk_id"), none.alias("chunk_index"), none.alias("char_start"), none.alias("char_end"), "content", *_source(df))
 
 
 def estimate_chunks(content: Column, chunk_size: int = 4000, overlap: int = 200) -> Column:
@@ -63,20 +67,8 @@ def estimate_chunks(content: Column, chunk_size: int = 4000, overlap: int = 200)
     return F.when(n <= chunk_size, F.lit(1)).otherwise(F.floor((n - 1) / step) + 1).cast("bigint")
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-
-
-def token_spans(text: str, chunk_size: int, overlap: int) -> list[tuple[int, int]]:
-    """Runs of ``chunk_size`` tokens (words and single signs); blanks go with the token before them."""
-    ends = [m.start() for m in _TOKEN.finditer(text)][1:] + [len(text)]
-    if len(ends) <= chunk_size:
-        return [(0, len(text))]
-    out, step = [], max(chunk_size - overlap, 1)
-    for i in range(0, len(ends), step):
-        out.append((ends[i - 1] if i else 0, ends[min(i + chunk_size, len(ends)) - 1]))
-        if i + chunk_size >= len(ends):
-            break
-    return out
+#: A token, a word or a single sign, with the blanks behind it.
+TOKEN = r"(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\r\n\f])[ \t\r\n\f]*"
 
 
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n+|$)")
@@ -111,6 +103,12 @@ def pack_sentences(text: str, chunk_size: int, overlap: int) -> list[tuple[int,
 
 
 DELIMITERS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
+#: Delimiters for kinds of text, by name.
+RECIPES = {
+    "default": DELIMITERS,
+    "markdown": ("\n# ", "\n## ", "\n### ", "\n```", "\n\n", "\n- ", "\n", ". ", " "),
+    "lines": ("\n\n", "\n"),
+}
 
 
 def split_recursively(text: str, chunk_size: int, delimiters: tuple[str, ...] = DELIMITERS) -> list[tuple[int, int]]:
@@ -142,30 +140,56 @@ def split_recursively(text: str, chunk_size: int, delimiters: tuple[str, ...] =
 
 
 def _in_python(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    df = _text(docs).withColumn("row", F.monotonically_increasing_id())
+    keep = [c for c in df.columns if c != "content"]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(o, d, c, k, a, b) for o, d, c in zip(pdf.doc_ord, pdf.doc_id, pdf.content) for k, (a, b) in enumerate(spans(c))]
-            out = pd.DataFrame(rows, columns=["doc_ord", "doc_id", "content", "k", "a", "b"])
-            out["content"] = [c[a:b] for c, a, b in zip(out.content, out.a, out.b)]
+            found = [spans(c) for c in pdf.content]
+            out = pdf.loc[pdf.index.repeat([len(f) for f in found]), keep].reset_index(drop=True)
+            out["k"] = [k for f in found for k in range(len(f))]
+            out["a"], out["b"] = [a for f in found for a, _ in f], [b for f in found for _, b in f]
+            out["content"] = [c[a:b] for c, f in zip(pdf.content, found) for a, b in f]
             yield out
 
-    made = _text(docs).mapInPandas(run, "doc_ord bigint, doc_id string, content string, k int, a int, b int")
+    made = df.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", k int, a int, b int, content string")
     name = F.concat(or_default(F.col("doc_id"), "doc"), F.lit("__chunk_"), F.col("k"))
-    return made.select("doc_ord", "doc_id", name.alias("chunk_id"), F.col("k").alias("chunk_index"), F.col("a").alias("char_start"), F.col("b").alias("char_end"), "content")
+    return made.select("doc_ord", "doc_id", name.alias("chunk_id"), F.col("k").alias("chunk_index"), F.col("a").alias("char_start"), F.col("b").alias("char_end"), "content", *_source(df), "row")
 
 
 def chunk_tokens(docs: DataFrame, chunk_size: int = 512, overlap: int = 64) -> DataFrame:
-    """Pieces of ``chunk_size`` tokens, ``overlap`` of them shared; a text without tokens is one piece."""
-    return _in_python(docs, lambda t: token_spans(t, chunk_size, overlap))
+    """Pieces of ``chunk_size`` tokens, ``overlap`` of them shared; a text without tokens is one piece.
+
+    Blanks go with the token before them, those before the first token with that. Places are sums
+    over steps of tokens, so a long text takes linear time.
+    """
+    df, step = _text(docs), max(chunk_size - overlap, 1)
+    lead = F.regexp_extract("content", r"^[ \t\r\n\f]*", 0)
+    pieces = df.withColumn("p", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).withColumn("lead", F.length(lead)).withColumn("n", F.size("p"))
+    text = lambda at, size: F.array_join(F.slice("p", at + 1, size), "")
+    last = F.greatest(F.ceil((F.col("n") - chunk_size) / step), F.lit(0)).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), last), lambda k: F.length(text(k * step, F.lit(step))))
+    before = lambda k: F.aggregate(F.slice("w", 1, k), F.lit(0), lambda x, y: x + y)
+    made = pieces.withColumn("w", steps).select("*", F.posexplode("w").alias("k", "x"))
+    body = text(F.col("k") * step, F.lit(chunk_size))
+    first = F.col("k") == 0
+    content = F.when(F.col("n") == 0, F.col("content")).when(first, F.concat(lead, body)).otherwise(body)
+    begin = F.when(first, F.lit(0)).otherwise(F.col("lead") + before(F.col("k")))
+    out = made.select("*", content.alias("c"), begin.cast("int").alias("a"))
+    name = F.concat(or_default(F.col("doc_id"), "doc"), F.lit("__chunk_"), F.col("k"))
+    return out.select(
+        "doc_ord", "doc_id", name.alias("chunk_id"), F.col("k").alias("chunk_index"), F.col("a").alias("char_start"), (F.col("a") + F.length("c")).alias("char_end"), F.col("c").alias("content"), *_source(df)
+    )
 
 
 def chunk_sentences(docs: DataFrame, chunk_size: int = 512, overlap: int = 64) -> DataFrame:
     """Greedy packing needs a sum that resets, which windows can't express: Arrow batches in Python."""
-    return _in_python(docs, lambda t: pack_sentences(t, chunk_size, overlap))
+    return _in_python(docs, lambda t: pack_sentences(t, chunk_size, overlap)).drop("row")
 
 
 def chunk_recursively(docs: DataFrame, chunk_size: int = 512, delimiters: tuple[str, ...] = DELIMITERS) -> DataFrame:
-    return _in_python(docs, lambda t: split_recursively(t, chunk_size, delimiters))
+    return _in_python(docs, lambda t: split_recursively(t, chunk_size, delimiters)).drop("row")
 
 
 def chunk_semantically(docs: DataFrame, embed: Callable[[Column], Column], threshold: float = 0.5) -> DataFrame:
@@ -173,17 +197,17 @@ def chunk_semantically(docs: DataFrame, embed: Callable[[Column], Column], thres
     sentences = _in_python(docs, lambda t: sentence_spans(t) or [(0, 0)])
     distinct = sentences.select("content").distinct().withColumn("v", doubles(embed(F.col("content"))))
     with_v = sentences.join(distinct, "content")
-    order = Window.partitionBy("doc_ord", "doc_id").orderBy("chunk_index")
+    order = Window.partitionBy("row").orderBy("chunk_index")
     before = F.lag("v").over(order)
     broken = F.when(before.isNotNull() & (cosine(before, F.col("v")) < threshold), 1).otherwise(0)
     cut = with_v.withColumn("x", broken).withColumn("k", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = cut.groupBy("doc_ord", "doc_id", "k").agg(
+    groups = cut.groupBy("row", "doc_ord", "doc_id", "k", *_source(cut)).agg(
         F.min("char_start").alias("a"), F.max("char_end").alias("b"), F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("s")
     )
     name = F.concat(or_default(F.col("doc_id"), "doc"), F.lit("__chunk_"), F.col("k"))
     return groups.select(
         "doc_ord", "doc_id", name.alias("chunk_id"), F.col("k").cast("int").alias("chunk_index"), F.col("a").alias("char_start"),
-        F.col("b").alias("char_end"), F.array_join(F.col("s.content"), "").alias("content"),
+        F.col("b").alias("char_end"), F.array_join(F.col("s.content"), "").alias("content"), *_source(groups),
     )
 
 
@@ -230,10 +254,15 @@ class SentenceChunking(_Counted):
 @dataclass(frozen=True)
 class RecursiveChunking(_Counted):
     chunk_size: int = 512
-    delimiters: tuple[str, ...] = DELIMITERS
+    delimiters: tuple[str, ...] | None = None
+    recipe: str = "default"
+
+    def __post_init__(self):
+        if self.recipe not in RECIPES:
+            raise ValueError(f"no recipe {self.recipe!r}; there are {', '.join(RECIPES)}")
 
     def chunk(self, docs: DataFrame) -> DataFrame:
-        return chunk_recursively(docs, self.chunk_size, self.delimiters)
+        return chunk_recursively(docs, self.chunk_size, self.delimiters or RECIPES[self.recipe])
 
 
 @dataclass(frozen=True)

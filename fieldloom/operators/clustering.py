@@ -103,15 +103,43 @@ def kmeans_pp(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     return np.array(centres)
 
 
+def draw_centres(points: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
+    """k-means++ centres from all of ``points(id, v)``: each next one with a chance in proportion to its squared distance.
+
+    A draw is the least of exponential variates (from a hash of identifier and round) over their rates:
+    one aggregate a centre. Once all points are centres the least hash is drawn.
+    """
+    spark = points.sparkSession
+    unit = lambda i: (F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(1 << 52)).cast("double") + 1) / float((1 << 52) + 1)
+    first = points.agg(F.min_by("v", F.struct(unit(0), "id"))).first()[0]
+    centres = [list(first)]
+    while len(centres) < k:
+        table = spark.createDataFrame(list(enumerate(centres)), "k int, c array<double>")
+        away = assign(points.select("id", "v"), table)
+        rate = F.when(F.col("distance") > 1e-12, -F.log(unit(len(centres))) / F.col("distance")).otherwise(F.lit(float("inf")))
+        best = away.select("id", rate.alias("wait"), unit(len(centres)).alias("u")).agg(F.min_by("id", F.struct("wait", "u", "id")).alias("id"))
+        centres.append(list(points.join(F.broadcast(best), "id").first().v))  # one row
+    return centres
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :]).argmin(axis=1)
 
 
-def silhouette_score(x: np.ndarray, labels: np.ndarray) -> float:
+def distances(x: np.ndarray) -> np.ndarray:
+    """Of all pairs, by the products of rows: n x n numbers, whatever the dimension."""
+    squares = (x**2).sum(axis=1)
+    d = np.sqrt(np.maximum(squares[:, None] - 2 * x @ x.T + squares[None, :], 0))
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def silhouette_score(x: np.ndarray, labels: np.ndarray, d: np.ndarray | None = None) -> float:
+    """The mean silhouette; ``d``: the points' distances, where they are known."""
     names = np.unique(labels)
     if len(names) < 2 or len(names) >= len(x):
         return -1.0
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+    d = distances(x) if d is None else d
     sums = np.stack([d[:, labels == n].sum(axis=1) for n in names], axis=1)
     size = np.array([(labels == n).sum() for n in names])
     own = np.searchsorted(names, labels)
@@ -128,7 +156,8 @@ def auto_k(x: np.ndarray, seed: int = 42) -> int:
     most = max(2, min(int(math.sqrt(len(x))), 20))
     if most <= 2:
         return 2
-    scores = [silhouette_score(x, nearest(x, kmeans_pp(x, k, seed))) for k in range(2, most + 1)]
+    d = distances(x)
+    scores = [silhouette_score(x, nearest(x, kmeans_pp(x, k, seed)), d) for k in range(2, most + 1)]
     return 2 + int(np.argmax(scores))
 
 
@@ -289,8 +318,9 @@ class EmbeddingClustering:
 class KLLMeansClustering:
     """k-means whose centroids are, every third round, replaced by the vectors of a model's summaries.
 
-    Points stay distributed; a round is a join with ``k`` centroids and a grouped mean.
-    Initial centres are drawn from a sample of ``SAMPLE`` values on the driver.
+    Points stay distributed; a round is a join with ``k`` centroids and a grouped mean, and initial
+    centres are drawn from all points. Where ``num_clusters`` isn't given it is chosen by the
+    silhouettes of up to ``sample_values`` points, as these take the distances of all pairs.
     """
 
     embeddings: EmbeddingClient
@@ -299,7 +329,7 @@ class KLLMeansClustering:
     max_iterations: int = 10
     summarize_every: int = 3
     seed: int = 42
-    SAMPLE = 2000
+    sample_values: int = 2000
 
     def normalize(self, values: DataFrame, context_field: str = "") -> DataFrame:
         spark = values.sparkSession
@@ -309,11 +339,9 @@ class KLLMeansClustering:
             return self._result(freq.select("value", F.col("value").alias("canonical"), F.lit(None).cast("int").alias("k")), context_field)
         points = freq.join(embed_distinct(freq, self.embeddings, "value"), "value").select(F.col("value").alias("id"), "freq", F.coalesce("first_ord", F.lit(0)).alias("first_ord"), doubles(F.col("embedding")).alias("v"))
         points = cut(points)
-        some = points.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.SAMPLE).select("v").toPandas()
-        x = np.asarray(some.v.tolist(), dtype=np.float64)
-        k = min(self.num_clusters or auto_k(x, self.seed), len(x))
+        k = min(self.num_clusters or self._choose_k(points), points.count())
         table = lambda c: spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(c)], "k int, c array<double>")
-        centroids = table(kmeans_pp(x, k, self.seed))
+        centroids = table(draw_centres(points, k, self.seed))
         before = None
         for round_ in range(1, self.max_iterations + 1):
             assigned = assign(points, centroids)
@@ -332,6 +360,10 @@ class KLLMeansClustering:
         out = final.join(F.broadcast(spark.createDataFrame(named, "k int, canonical string")), "k").select(F.col("id").alias("value"), "canonical", "k")
         return self._result(out, context_field)
 
+    def _choose_k(self, points: DataFrame) -> int:
+        some = points.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.sample_values).select("v").toPandas()
+        return auto_k(np.asarray(some.v.tolist(), dtype=np.float64), self.seed)
+
     def _texts(self, assigned: DataFrame, most: int = 20) -> dict[int, list[str]]:
         """The most frequent members of each cluster, for prompts."""
         w = Window.partitionBy("k").orderBy(F.desc("freq"), "first_ord", "id")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 import pandas as pd
@@ -17,15 +19,17 @@ from fieldloom.functions import jsonschema
 from fieldloom.functions.plain import parse_object, parse_objects
 from fieldloom.functions.text import EDGES, attempt_confidence, document_label
 from fieldloom.operators.chunking import chunk_fixed, effective_chunk_size
-from fieldloom.operators.provenance import find_loosely
+from fieldloom.operators.checkpoint import cut
+from fieldloom.operators.provenance import find_loosely, merge_field_spans
+from fieldloom.operators.usage import estimate_extraction_cost
 from fieldloom.operators.records import dedup_records, parse_record, without_nulls
-from fieldloom.providers import LLMClient
+from fieldloom.providers import LLMClient, in_flight
 from fieldloom.schemas import SPAN
 
 REPLIES = (
     "doc_ord bigint, doc_id string, source string, chunk_id string, chunk_index int, char_start int, char_end int, record_ord int, record string, attempt int, "
     "field_spans map<string,array<struct<quote:string,document_id:string,start:int,end:int,confidence:string>>>, "
-    "input_tokens bigint, output_tokens bigint, model string, error_type string, error string"
+    "input_tokens bigint, output_tokens bigint, latency_ms double, calls int, model string, error_type string, error string"
 )
 
 
@@ -39,10 +43,12 @@ def conforms(value: Any, t: T.DataType) -> bool:
         return isinstance(value, bool) or value in (0, 1) or (isinstance(value, str) and value.lower() in ("true", "false", "yes", "no", "on", "off", "1", "0"))
     if isinstance(t, (T.LongType, T.DoubleType)):
         try:
-            number = float(value)
-        except (TypeError, ValueError):
+            number = Decimal(value.strip()) if isinstance(value, str) else Decimal(value)
+        except (TypeError, ValueError, InvalidOperation):
             return False
-        return isinstance(t, T.DoubleType) or number == int(number)
+        if isinstance(t, T.DoubleType):
+            return True
+        return number.is_finite() and abs(number) < 1 << 63 and number == int(number)
     if isinstance(t, T.ArrayType):
         return isinstance(value, list) and all(conforms(x, t.elementType) for x in value)
     if isinstance(t, T.StructType):
@@ -56,8 +62,8 @@ def lax(value: Any, t: T.DataType) -> Any:
         return None
     if isinstance(t, T.BooleanType) and not isinstance(value, bool):
         return str(value).lower() in ("true", "yes", "on", "1")
-    if isinstance(t, T.LongType):
-        return int(float(value))
+    if isinstance(t, T.LongType):  # without a float in between, which holds 53 bits
+        return int(Decimal(value.strip())) if isinstance(value, str) else int(value)
     if isinstance(t, T.DoubleType):
         return float(value)
     if isinstance(t, T.ArrayType):
@@ -88,7 +94,8 @@ class LLMDirectExtraction:
     """One model call a chunk; a reply that can't be used is asked for again with the error, up to ``max_retries`` times.
 
     ``on_error``: ``raise`` fails the query, ``skip`` leaves failed chunks out, ``collect``
-    returns them as rows with an error.
+    returns them as rows with an error, whatever the client raises. A task has up to
+    ``concurrency`` calls in flight.
     """
 
     client: LLMClient
@@ -101,11 +108,27 @@ class LLMDirectExtraction:
     provenance: bool = False
     max_retries: int = 3
     on_error: str = "collect"
+    concurrency: int = 8
 
     def chunks(self, docs: DataFrame) -> DataFrame:
-        made = self.chunking.chunk(docs) if self.chunking is not None else chunk_fixed(docs, effective_chunk_size(self.chunk_size, self.multi_record), self.overlap)
-        label = docs.select(F.col("doc_ord").alias("__o"), document_label(F.col("source"), F.col("doc_id")).alias("source"))
-        return made.join(label, F.col("doc_ord") == F.col("__o")).drop("__o")
+        """The pieces, each with its document's label: it travels with the text, so identifiers needn't be unique or there at all."""
+        named = docs.withColumn("source", document_label(F.col("source"), F.col("doc_id")))
+        return self.chunking.chunk(named) if self.chunking is not None else chunk_fixed(named, effective_chunk_size(self.chunk_size, self.multi_record), self.overlap)
+
+    def asked(self, schema: dict) -> dict:
+        """The schema that a reply must follow."""
+        one = jsonschema.with_sources(schema) if self.provenance else schema
+        return {"type": "array", "items": one} if self.multi_record else one
+
+    def prompts(self, docs: DataFrame, schema: dict) -> DataFrame:
+        """The chunks, with ``prompt``: the text of each one's first call, to the letter."""
+        before, after = prompt(json.dumps(self.asked(schema)), "\0", self.record_hint).split("\0")
+        return self.chunks(docs).withColumn("prompt", F.concat(F.lit(before), "content", F.lit(after)))
+
+    def estimate_cost(self, docs: DataFrame, schema: dict, model: str, records_per_chunk: int | None = None, pricing: dict | None = None) -> DataFrame:
+        """One row: calls, tokens and cost of ``extract``, from the exact prompts."""
+        many = records_per_chunk or (3 if self.multi_record else 1)
+        return estimate_extraction_cost(self.prompts(docs, schema), F.col("prompt"), schema, model, records_per_chunk=many, provenance=self.provenance, pricing=pricing)
 
     def replies(self, docs: DataFrame, schema: dict) -> DataFrame:
         """A row for each record, or for each chunk that failed; calls and their tokens are columns."""
@@ -113,9 +136,8 @@ class LLMDirectExtraction:
 
     def _caller(self, schema: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         struct, need = jsonschema.to_struct(schema), jsonschema.required(schema)
-        asked = jsonschema.with_sources(schema) if self.provenance else schema
-        asked = {"type": "array", "items": asked} if self.multi_record else asked
-        text, client, multi, hint, tries, sources = json.dumps(asked), self.client, self.multi_record, self.record_hint, self.max_retries + 1, self.provenance
+        asked = self.asked(schema)
+        text, client, multi, hint, tries, sources, at_once = json.dumps(asked), self.client, self.multi_record, self.record_hint, self.max_retries + 1, self.provenance, self.concurrency
 
         def check(raw: dict) -> tuple[dict, dict]:
             values, quotes = jsonschema.without_sources(raw) if sources else (raw, {})
@@ -128,37 +150,48 @@ class LLMDirectExtraction:
             return {f.name: lax(values.get(f.name), f.dataType) for f in struct.fields}, quotes
 
         def one(c: Any) -> list[tuple]:
-            head = (c.doc_ord, c.doc_id, c.source, c.chunk_id, None if pd.isna(c.chunk_index) else int(c.chunk_index), None if pd.isna(c.char_start) else int(c.char_start), None if pd.isna(c.char_end) else int(c.char_end))
+            head = (None if pd.isna(c.doc_ord) else int(c.doc_ord), c.doc_id, c.source, c.chunk_id, None if pd.isna(c.chunk_index) else int(c.chunk_index), None if pd.isna(c.char_start) else int(c.char_start), None if pd.isna(c.char_end) else int(c.char_end))
             messages = [{"role": "user", "content": prompt(text, c.content, hint)}]
-            tokens_in = tokens_out = 0
-            model, said, kind = None, "", ""
+            tokens_in = tokens_out = calls = 0
+            spent, model, said, kind = 0.0, None, "", ""
             for attempt in range(tries):
+                began, r = time.perf_counter(), None
                 try:
-                    r = client.complete(messages, schema=asked)
+                    calls += 1
+                    try:
+                        r = client.complete(messages, schema=asked)
+                    finally:
+                        spent += 1000 * (time.perf_counter() - began)
                     tokens_in, tokens_out, model = tokens_in + r.input_tokens, tokens_out + r.output_tokens, r.model
                     found = [check(x) for x in (parse_objects(r.content) if multi else [parse_object(r.content)])]
                 except ProviderError as e:
                     said, kind = str(e), "ProviderError"
                     break
-                except ValueError as e:
-                    said, kind = str(e), "ExtractionError"
+                except Exception as e:  # noqa: BLE001 - one bad reply, or one bad call, must not lose the others
+                    said, kind = str(e) or type(e).__name__, "ExtractionError" if isinstance(e, ValueError) else type(e).__name__
+                    if r is None:
+                        break
                     messages = [messages[0], dict(role="assistant", content=r.content), dict(role="user", content=f"That can't be used ({e}). Reply again with JSON only.\n{messages[0]['content']}")]
                     continue
                 rows = []
                 for k, (values, quotes) in enumerate(found):
                     spans = {f: [locate(q, c.content, c.doc_id, head[5] or 0) for q in qs] for f, qs in quotes.items()} if sources else None
-                    first = (tokens_in, tokens_out) if k == 0 else (0, 0)
+                    first = (tokens_in, tokens_out, spent, calls) if k == 0 else (0, 0, 0.0, 0)
                     rows.append((*head, k, json.dumps(values, ensure_ascii=False), 0 if multi else attempt, spans, *first, model, None, None))
                 return rows
-            return [(*head, 0, None, tries - 1, None, tokens_in, tokens_out, model, kind, said)]
+            return [(*head, 0, None, tries - 1, None, tokens_in, tokens_out, spent, calls, model, kind, said)]
 
-        names = [x.strip().split(" ")[0] for x in "doc_ord,doc_id,source,chunk_id,chunk_index,char_start,char_end,record_ord,record,attempt,field_spans,input_tokens,output_tokens,model,error_type,error".split(",")]
+        names = [
+            "doc_ord", "doc_id", "source", "chunk_id", "chunk_index", "char_start", "char_end", "record_ord", "record", "attempt", "field_spans",
+            "input_tokens", "output_tokens", "latency_ms", "calls", "model", "error_type", "error",
+        ]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [r for c in pdf.itertuples(index=False) for r in one(c)]
+                rows = [r for made in in_flight(one, list(pdf.itertuples(index=False)), at_once) for r in made]
                 out = pd.DataFrame(rows, columns=names)
-                for k in ("chunk_index", "char_start", "char_end", "record_ord", "attempt"):
+                out["doc_ord"] = out["doc_ord"].astype("Int64")
+                for k in ("chunk_index", "char_start", "char_end", "record_ord", "attempt", "calls"):
                     out[k] = out[k].astype("Int32")
                 out["field_spans"] = [None if not isinstance(s, dict) else {f: [dict(zip(SPAN.names, x)) for x in v] for f, v in s.items()} for s in out["field_spans"]]
                 yield out
@@ -182,12 +215,19 @@ class LLMDirectExtraction:
         )
         out = got.select(
             "doc_ord", "doc_id", "chunk_id", "chunk_index", "record_ord", F.when(F.col("error").isNull(), record).alias("record"), F.when(F.col("error").isNull(), origin).alias("provenance"),
-            F.when(F.col("error").isNotNull(), F.struct(F.col("error_type").alias("type"), F.col("error").alias("message"))).alias("error"), "input_tokens", "output_tokens", "model",
+            F.when(F.col("error").isNotNull(), F.struct(F.col("error_type").alias("type"), F.col("error").alias("message"))).alias("error"), "input_tokens", "output_tokens", "latency_ms", "calls", "model",
         )
-        if self.multi_record and self.deduplicate:
-            good = out.where("error IS NULL").withColumn("__ord", F.struct("doc_ord", F.coalesce("chunk_index", F.lit(0)), "record_ord"))
-            return dedup_records(good, ["record"], "__ord").drop("__ord").unionByName(out.where("error IS NOT NULL"))
-        return out
+        if not (self.multi_record and self.deduplicate):
+            return out
+        out = cut(out)  # it is read twice, and each call is made once
+        ordered = out.where("error IS NULL").withColumn("__ord", F.struct(F.coalesce("doc_ord", F.lit(-1)), F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_index", F.lit(0)), "record_ord"))
+        if self.provenance:
+            spans = ordered.withColumn("__spans", F.col("provenance.field_spans"))
+            first = dedup_records(spans, ["record"], "__ord", "__spans", merge_field_spans)
+            first = first.withColumn("provenance", F.col("provenance").withField("field_spans", F.col("__spans"))).drop("__spans")
+        else:
+            first = dedup_records(ordered, ["record"], "__ord")
+        return first.drop("__ord").unionByName(out.where("error IS NOT NULL"))
 
 
 def records_of(result: DataFrame) -> DataFrame:
@@ -199,10 +239,8 @@ def errors_of(result: DataFrame) -> DataFrame:
 
 
 def usage_of(result: DataFrame, stage: str = "extraction") -> DataFrame:
-    """Usage rows of the calls behind a result."""
-    return result.where("input_tokens > 0 OR output_tokens > 0").select(
-        F.xxhash64("chunk_id").alias("call_ord"), F.lit(stage).alias("stage"), "model", "input_tokens", "output_tokens", F.lit(0.0).alias("latency_ms")
-    )
+    """Usage rows of the calls behind the rows of a result; a ``Meter`` also counts those whose records were repeats."""
+    return result.where("calls > 0").select(F.xxhash64("chunk_id").alias("call_ord"), F.lit(stage).alias("stage"), "model", "calls", "input_tokens", "output_tokens", "latency_ms")
 
 
 __all__ = ["LLMDirectExtraction", "conforms", "errors_of", "lax", "records_of", "usage_of"]

@@ -19,6 +19,8 @@ from fieldloom.errors import NormalizationError
 
 #: Rows of a dictionary up to which it is worth a broadcast hint; larger ones are left to the optimizer.
 BROADCAST_ROWS = 200_000
+#: Entries of a mapping that are looked up in arrays in place.
+INLINE_ROWS = 500
 
 
 def values_of(df: DataFrame, field: str) -> DataFrame:
@@ -77,7 +79,8 @@ def apply_mapping(records: DataFrame, mapping: DataFrame, field: str, out: str |
     """``records`` with ``field`` as canonical text: scalars by look-up, arrays element by element in order.
 
     Nulls stay null, null elements become the text ``None``, values without an entry stay.
-    An array column is exploded, joined and put together again, so the mapping may be large.
+    For an array column a mapping of up to ``INLINE_ROWS`` entries is looked up in place; a larger one
+    is joined to the exploded elements, which are put together again.
     """
     out = out or field
     m = mapping.select(F.col("raw").alias("__raw"), F.col("canonical").alias("__to")).dropDuplicates(["__raw"])
@@ -85,6 +88,11 @@ def apply_mapping(records: DataFrame, mapping: DataFrame, field: str, out: str |
         text = F.col(field).cast("string")
         joined = records.withColumn("__text", text).join(m, F.col("__text") == F.col("__raw"), "left")
         return joined.withColumn(out, F.coalesce("__to", "__text")).drop("__text", "__raw", "__to")
+    few = m.limit(INLINE_ROWS + 1).collect()
+    if len(few) <= INLINE_ROWS:
+        entries = F.create_map(*[F.lit(x) for r in few for x in r]) if few else F.create_map().cast("map<string,string>")
+        item = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+        return records.withColumn(out, F.transform(field, lambda x: F.coalesce(F.try_element_at(entries, item(x)), item(x))))
     keyed = records.withColumn("__row", F.to_json(F.struct(field)))
     distinct = keyed.where(F.col(field).isNotNull()).select("__row", field).dropDuplicates(["__row"])
     items = distinct.select("__row", F.posexplode(field).alias("__pos", "__item"))

@@ -8,16 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.errors import NormalizationError, ProviderError
+from fieldloom.errors import NormalizationError
 from fieldloom.functions.plain import strip_fences
 from fieldloom.functions.vectors import cosine, doubles
-from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct
+from fieldloom.operators.checkpoint import cut, versions
+from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct, in_flight
 
-#: Index rows that the matrix search sends to every task; a larger index is searched in parts.
-INDEX_ROWS = 200_000
+#: Bytes of index vectors that the matrix search sends to every task; a larger index is searched in parts.
+INDEX_BYTES = 64 << 20
 AUGMENT_BELOW = 0.95
 
 
@@ -52,6 +53,26 @@ def build_index(ontology: DataFrame, client: EmbeddingClient, stored: DataFrame
     return texts.join(vectors, "shown")
 
 
+def load_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete store of ``(shown, embedding)`` in a folder; None if there is none."""
+    have = versions(spark, path)
+    return spark.read.parquet(f"{path}/v={have[-1]}") if have else None
+
+
+def build_stored_index(ontology: DataFrame, client: EmbeddingClient, path: str) -> DataFrame:
+    """``build_index`` with a store in a folder: what it lacks is embedded once and written to a new version, so that no reader sees half of it."""
+    spark = ontology.sparkSession
+    stored = load_vectors(spark, path)
+    texts = index_texts(ontology)
+    wanted = texts.select("shown").distinct()
+    lacking = wanted if stored is None else wanted.join(stored, "shown", "left_anti")
+    if stored is None or not lacking.isEmpty():
+        fresh = embed_distinct(lacking, client, "shown")
+        version = (versions(spark, path) or [0])[-1] + 1
+        (fresh if stored is None else stored.select("shown", "embedding").unionByName(fresh)).write.parquet(f"{path}/v={version}")
+    return texts.join(load_vectors(spark, path), "shown")
+
+
 def _best(scored: DataFrame, top_k: int) -> DataFrame:
     """Best ``3·top_k`` texts of a value, then its best ``top_k`` entries among them (there may be fewer)."""
     by_text = Window.partitionBy("value").orderBy(F.desc("score"), "id", "text_ord")
@@ -84,11 +105,15 @@ def _lengths(rows: np.ndarray) -> np.ndarray:
 
 
 def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataFrame:
-    """As ``search``, as matrix products in Arrow batches against parts of at most ``INDEX_ROWS`` index texts."""
-    total = index.count()
+    """As ``search``, as matrix products in Arrow batches against parts of the index of about ``INDEX_BYTES``, names and all.
+
+    The index is read once for each part, and once for its size: give it as a table, or cut.
+    """
+    size = F.coalesce(F.sum(8 * F.size("embedding") + F.length("id") + F.coalesce(F.length("name"), F.lit(0)) + 16), F.lit(0))
+    total = index.agg(size).first()[0]
     if not total:
         return queries.sparkSession.createDataFrame([], "value string, id string, name string, score double, rank int")
-    parts = -(-total // INDEX_ROWS)
+    parts = -(-total // INDEX_BYTES)
     found = None
     for p in range(parts):
         mine = index.where(F.pmod(F.xxhash64("id", "text_ord"), F.lit(parts)) == p).orderBy("id", "text_ord").select("id", "name", "text_ord", "embedding").toPandas()
@@ -122,23 +147,22 @@ def merge_candidates(a: DataFrame, b: DataFrame, top_k: int) -> DataFrame:
     return top_candidates(both.groupBy("value", "id").agg(F.first("name").alias("name"), F.max("score").alias("score")), top_k)
 
 
-def augment(weak: DataFrame, client: LLMClient, phrasings: int = 5, batch: int = 30) -> DataFrame:
+def augment(weak: DataFrame, client: LLMClient, phrasings: int = 5, batch: int = 30, concurrency: int = 8) -> DataFrame:
     """``(value, phrase)`` from a model, for values whose best score is low; a failed call gives none."""
 
+    def ask(some: list[str]) -> list[tuple[str, str]]:
+        prompt = "Give other wordings of these terms as a JSON object of lists:\n" + "\n".join(f"- {v}" for v in some)
+        try:
+            got = json.loads(strip_fences(client.complete([{"role": "user", "content": prompt}]).content))
+        except Exception:  # noqa: BLE001 - without other wordings the value keeps its candidates
+            return []
+        return [(v, str(p)) for v in some if isinstance(got, dict) and isinstance(got.get(v), list) for p in got[v][:phrasings] if p]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             values = pdf.value.tolist()
-            rows = []
-            for a in range(0, len(values), batch):
-                some = values[a : a + batch]
-                prompt = "Give other wordings of these terms as a JSON object of lists:\n" + "\n".join(f"- {v}" for v in some)
-                try:
-                    got = json.loads(strip_fences(client.complete([{"role": "user", "content": prompt}]).content))
-                except (ProviderError, ValueError):
-                    continue
-                if isinstance(got, dict):
-                    rows += [(v, str(p)) for v in some if isinstance(got.get(v), list) for p in got[v][:phrasings] if p]
-            yield pd.DataFrame(rows, columns=["value", "phrase"])
+            made = in_flight(ask, [values[a : a + batch] for a in range(0, len(values), batch)], concurrency)
+            yield pd.DataFrame([r for rows in made for r in rows], columns=["value", "phrase"])
 
     return weak.select("value").distinct().mapInPandas(run, "value string, phrase string")
 
@@ -158,30 +182,35 @@ def parse_rerank(reply: str | None, candidates: Sequence[dict]) -> tuple[str | N
     return best["id"], 0.0, got.get("rationale")
 
 
-def rerank(candidates: DataFrame, synonyms: DataFrame, client: LLMClient) -> DataFrame:
-    """``(value, id, confidence, rationale)``: a model's choice among the candidates of each value."""
+def rerank(candidates: DataFrame, synonyms: DataFrame, client: LLMClient, concurrency: int = 8) -> DataFrame:
+    """``(value, id, confidence, rationale)``: a model's choice among the candidates of each value, with up to ``concurrency`` calls in flight in a task."""
     with_syn = candidates.join(synonyms.select("id", F.slice(F.coalesce("synonyms", F.array().cast("array<string>")), 1, 5).alias("syn")), "id")
     lists = with_syn.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "name", "score", "syn"))).alias("c"))
 
+    def ask(item: tuple) -> tuple:
+        value, c = item
+        some = [{"id": x["id"], "name": x["name"], "score": x["score"], "syn": list(x["syn"])} for x in c]
+        lines = "\n".join(f"{x['id']}: {x['name']}" + (f" ({', '.join(x['syn'])})" if x["syn"] else "") for x in some)
+        try:
+            reply = client.complete([{"role": "user", "content": f"Which entry means {value!r}? Reply with id, confidence and rationale as JSON.\n{lines}"}]).content
+        except Exception:  # noqa: BLE001 - the best by score stands in
+            reply = None
+        return (value, *parse_rerank(reply, some))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for value, c in zip(pdf.value, pdf.c):
-                some = [{"id": x["id"], "name": x["name"], "score": x["score"], "syn": list(x["syn"])} for x in c]
-                lines = "\n".join(f"{x['id']}: {x['name']}" + (f" ({', '.join(x['syn'])})" if x["syn"] else "") for x in some)
-                try:
-                    reply = client.complete([{"role": "user", "content": f"Which entry means {value!r}? Reply with id, confidence and rationale as JSON.\n{lines}"}]).content
-                except ProviderError:
-                    reply = None
-                rows.append((value, *parse_rerank(reply, some)))
-            yield pd.DataFrame(rows, columns=["value", "id", "confidence", "rationale"])
+            yield pd.DataFrame(in_flight(ask, list(zip(pdf.value, pdf.c)), concurrency), columns=["value", "id", "confidence", "rationale"])
 
     return lists.mapInPandas(run, "value string, id string, confidence double, rationale string")
 
 
 @dataclass
 class OntologyMapping:
-    """Distinct values to entries: embed, search, optionally augment and rerank; no match keeps the value."""
+    """Distinct values to entries: embed, search, optionally augment and rerank; no match keeps the value.
+
+    What a model answered is cut, so that each question is put once however often a table is read.
+    ``index``: a table of ``build_index``, or ``index_path``: a folder that keeps vectors between runs.
+    """
 
     ontology: DataFrame
     embeddings: EmbeddingClient
@@ -191,22 +220,30 @@ class OntologyMapping:
     augment_queries: bool = False
     confidence_threshold: float = 0.0
     index: DataFrame | None = None
+    index_path: str | None = None
+    concurrency: int = 8
+
+    def _index(self) -> DataFrame:
+        if self.index is None:
+            self.index = build_stored_index(self.ontology, self.embeddings, self.index_path) if self.index_path else cut(build_index(self.ontology, self.embeddings))
+        return self.index
 
     def normalize(self, values: DataFrame, context_field: str = "") -> DataFrame:
         if (self.use_rerank or self.augment_queries) and self.llm is None:
             raise NormalizationError("reranking and augmentation need a model")
-        index = build_index(self.ontology, self.embeddings) if self.index is None else self.index
-        vectors = embed_distinct(values, self.embeddings, "value")
-        found = search_matrix(vectors, index, self.top_k)
+        index = self._index()
+        vectors = cut(embed_distinct(values, self.embeddings, "value"))
+        found = cut(search_matrix(vectors, index, self.top_k))
         if self.augment_queries:
             weak = found.where((F.col("rank") == 1) & (F.col("score") < AUGMENT_BELOW))
-            more = augment(weak, self.llm)
-            again = search_matrix(embed_distinct(more, self.embeddings, "phrase").withColumnRenamed("phrase", "value"), index, self.top_k)
+            more = cut(augment(weak, self.llm, concurrency=self.concurrency))
+            phrases = cut(embed_distinct(more, self.embeddings, "phrase").withColumnRenamed("phrase", "value"))
+            again = search_matrix(phrases, index, self.top_k)
             back = more.join(again.withColumnRenamed("value", "phrase"), "phrase").select("value", "id", "name", "score")
-            found = merge_candidates(found, back, self.top_k)
+            found = cut(merge_candidates(found, back, self.top_k))
         best = found.where("rank = 1")
         if self.use_rerank:
-            chosen = rerank(found, self.ontology, self.llm)
+            chosen = cut(rerank(found, self.ontology, self.llm, self.concurrency))
             names = self.ontology.select("id", "name").dropDuplicates(["id"])
             picked = chosen.join(names, "id").join(best.select("value", F.col("score").alias("best")), "value")
         else:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,19 +63,20 @@ def record_key(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[plain(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
-def dedup_records(df: DataFrame, columns: Sequence[str], ord_col: str = "ord", spans_col: str | None = None) -> DataFrame:
-    """The first of equal records; with ``spans_col`` it takes over the spans of the others, in their order.
+def dedup_records(df: DataFrame, columns: Sequence[str], ord_col: str = "ord", spans_col: str | None = None, merge: Callable[[Column, Column], Column] = merge_spans) -> DataFrame:
+    """The first of equal records; with ``spans_col`` it takes over the spans of the others, in their order, by ``merge``.
 
-    The key is hashed to 256 bits for the shuffle, so records as long as documents stay small.
+    The key is hashed to 256 bits for the shuffle, so records as long as documents stay small; without
+    spans equal records are already one before the shuffle, however many there are.
     """
     keyed = df.withColumn("__key", F.sha2(record_key(df, columns), 256))
     if spans_col is None:
-        first = Window.partitionBy("__key").orderBy(ord_col)
-        return keyed.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__key", "__n")
+        return keyed.groupBy("__key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), ord_col).alias("__r")).select("__r.*")
     rest = [c for c in df.columns if c != spans_col]
+    by_ord = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)  # noqa: E731 - spans may be maps, which have no order
     groups = keyed.groupBy("__key").agg(
-        F.min_by(F.struct(*rest), ord_col).alias("__r"), F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(spans_col).alias("s")))).alias("__s")
+        F.min_by(F.struct(*rest), ord_col).alias("__r"), F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(spans_col).alias("s"))), by_ord).alias("__s")
     )
     lists = F.col("__s.s")
-    merged = F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.element_at(lists, 1), merge_spans)
+    merged = F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.element_at(lists, 1), merge)
     return groups.select("__r.*", merged.alias(spans_col)).select(*df.columns)

@@ -13,24 +13,14 @@ from fieldloom.functions.text import tokens
 from fieldloom.operators.chunking import estimate_chunks
 
 Pricing = Mapping[str, tuple[float, float]]
-_PRICE_LIST = """
-gpt-4o                     2.5   10
-gpt-4o-mini                0.15  0.6
-gpt-4.1                    2     8
-gpt-4.1-mini               0.4   1.6
-gpt-4.1-nano               0.1   0.4
-gpt-5.4                    2.5   10
-gpt-5.4-mini               0.15  0.6
-o3-mini                    1.1   4.4
-claude-sonnet-4-6          3     15
-claude-haiku-4-5           0.8   4
-claude-haiku-4-5-20251001  0.8   4
-mistral-small-latest       0.1   0.3
-text-embedding-3-small     0.02  0
-text-embedding-3-large     0.13  0
-"""
-#: USD for a million input and output tokens.
-PRICES: dict[str, tuple[float, float]] = {m: (float(i), float(o)) for m, i, o in (line.split() for line in _PRICE_LIST.strip().splitlines())}
+#: USD for a million input and output tokens, by maker.
+_OPENAI = {
+    "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4.1": (2.0, 8.0), "gpt-4.1-mini": (0.4, 1.6), "gpt-4.1-nano": (0.1, 0.4),
+    "gpt-5.4": (2.5, 10.0), "gpt-5.4-mini": (0.15, 0.6), "o3-mini": (1.1, 4.4),
+}
+_EMBEDDING = {"text-embedding-3-small": (0.02, 0.0), "text-embedding-3-large": (0.13, 0.0)}
+_OTHERS = {"claude-sonnet-4-6": (3.0, 15.0), "claude-haiku-4-5": (0.8, 4.0), "claude-haiku-4-5-20251001": (0.8, 4.0), "mistral-small-latest": (0.1, 0.3)}
+PRICES: dict[str, tuple[float, float]] = _OTHERS | _OPENAI | _EMBEDDING
 
 
 def price_table(spark: SparkSession, pricing: Pricing | None = None) -> DataFrame:
@@ -51,9 +41,10 @@ def with_cost(calls: DataFrame, pricing: Pricing | None = None) -> DataFrame:
 
 
 def usage_report(calls: DataFrame) -> DataFrame:
-    """Sums by stage, and over all (a null stage, with ``is_total``)."""
+    """Sums by stage, and over all (a null stage, with ``is_total``); a row is a call, or ``calls`` of them where there is such a column."""
+    n = F.sum("calls").cast("bigint") if "calls" in calls.columns else F.count("*")
     sums = calls.rollup("stage").agg(
-        F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        n.alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum("cost_usd").alias("cost_usd"), F.sum("latency_ms").alias("latency_ms"), (F.grouping("stage") == 1).alias("is_total"),
     )
     return sums

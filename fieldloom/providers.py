@@ -9,16 +9,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.errors import ProviderError
@@ -30,7 +33,7 @@ Json = dict[str, Any]
 ROUTES = {
     "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"),
     "ollama": ("http://localhost:11434/v1", ""),
-    "mistral": tuple("https://api.mistral.ai/v1 MISTRAL_API_KEY".split()),
+    "mistral": ("https://api.mistral.ai/v1", "MISTRAL_API_KEY"),
 }
 
 
@@ -59,12 +62,25 @@ def resolve_provider(model: str, base_url: str | None = None, key_name: str | No
     return model, base_url or ROUTES["openai"][0], ROUTES["openai"][1] if key_name is None else key_name
 
 
+def _said(message: Json, schema: Json | None) -> str:
+    """The text of a reply, or the arguments of the function that it calls."""
+    if not message.get("tool_calls"):
+        return message.get("content") or ""
+    text = message["tool_calls"][0]["function"]["arguments"]
+    if (schema or {}).get("type") != "object":  # a list travels as the one argument of a function
+        try:
+            return json.dumps(json.loads(text)["items"])
+        except (ValueError, TypeError, KeyError):
+            pass
+    return text
+
+
 @dataclass
 class HttpClient:
     """A server that speaks the common chat-completions protocol.
 
-    Structured replies are asked for as a JSON schema, then as a JSON object, then as plain
-    text, whichever the server takes first. Rate limits and server errors are tried again
+    Structured replies are asked for as a JSON schema, then as a JSON object, then as the arguments
+    of a function, then as plain text, whichever the server takes first. Rate limits and server errors are tried again
     after 1, 2, 4 … seconds; other errors aren't.
     """
 
@@ -98,7 +114,12 @@ class HttpClient:
         base = {"messages": list(messages), "temperature": temperature}
         ways: list[Json] = [{}]
         if schema is not None:
-            ways = [{"response_format": dict(type="json_schema", json_schema=dict(schema=schema, name="reply"))}, {"response_format": {"type": "json_object"}}, {}]
+            tool = {"type": "function", "function": {"name": "reply", "parameters": schema if schema.get("type") == "object" else {"type": "object", "properties": {"items": schema}}}}
+            ways = [
+                {"response_format": dict(type="json_schema", json_schema=dict(schema=schema, name="reply"))},
+                {"response_format": {"type": "json_object"}},
+                {"tools": [tool], "tool_choice": {"type": "function", "function": {"name": "reply"}}}, {},
+            ]
         for k, way in enumerate(ways):
             try:
                 got = self._post("/chat/completions", base | way)
@@ -107,7 +128,7 @@ class HttpClient:
                     raise
                 continue
             used = got.get("usage") or {}
-            return Reply(got["choices"][0]["message"]["content"] or "", int(used.get("prompt_tokens", 0)), int(used.get("completion_tokens", 0)), self.model)
+            return Reply(_said(got["choices"][0]["message"], schema), int(used.get("prompt_tokens", 0)), int(used.get("completion_tokens", 0)), self.model)
         raise AssertionError
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
@@ -118,6 +139,92 @@ class HttpClient:
         return out
 
 
+def in_flight(call: Callable[[Any], Any], items: Sequence[Any], at_once: int) -> list[Any]:
+    """``call`` of each item, up to ``at_once`` of them at a time, in their order."""
+    if at_once <= 1 or len(items) <= 1:
+        return [call(x) for x in items]
+    with ThreadPoolExecutor(min(at_once, len(items))) as pool:
+        return list(pool.map(call, items))
+
+
+class _Sums(AccumulatorParam):
+    """Sums of tuples by key: as many as there are stages and models, whatever the number of calls."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:
+        for k, v in b.items():
+            a[k] = tuple(x + y for x, y in zip(a[k], v)) if k in a else v
+        return a
+
+
+class Meter:
+    """What calls of any stage cost, on the driver and in tasks: an accumulator of calls, tokens and milliseconds.
+
+    A task that is run again makes its calls again, and they count again.
+    """
+
+    SCHEMA = "call_ord bigint, stage string, model string, calls int, input_tokens bigint, output_tokens bigint, latency_ms double"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.sums = spark.sparkContext.accumulator({}, _Sums())
+
+    def client(self, client: LLMClient, stage: str) -> MeteredClient:
+        return MeteredClient(client, stage, self.sums)
+
+    def rows(self) -> list[tuple]:
+        found = sorted(self.sums.value.items())
+        return [(k, stage, model, int(n), int(i), int(o), float(ms)) for k, ((stage, model), (n, i, o, ms)) in enumerate(found)]
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows(), self.SCHEMA)
+
+
+@dataclass
+class MeteredClient:
+    """A client whose calls a meter counts, also those that fail."""
+
+    client: LLMClient
+    stage: str
+    sums: Any
+
+    def complete(self, messages: Sequence[Message], *, schema: Json | None = None, temperature: float = 0.0) -> Reply:
+        began, reply = time.perf_counter(), None
+        try:
+            reply = self.client.complete(messages, schema=schema, temperature=temperature)
+            return reply
+        finally:
+            used = (reply.input_tokens, reply.output_tokens) if reply else (0, 0)
+            with _METERED:
+                self.sums.add({(self.stage, reply.model if reply else "failed"): (1, *used, 1000 * (time.perf_counter() - began))})
+
+
+_METERED = threading.Lock()
+
+
+@dataclass
+class LocalEmbeddings:
+    """Embeddings by a model on the workers' own machines; needs the sentence-transformers library there."""
+
+    model: str = "all-MiniLM-L6-v2"
+    batch_size: int = 64
+    _loaded: Any = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> Json:
+        return {**self.__dict__, "_loaded": None}  # each worker loads its own
+
+    def embed(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        if self._loaded is None:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as e:
+                raise ProviderError("local embeddings need the sentence-transformers library") from e
+            self._loaded = SentenceTransformer(self.model)
+        return self._loaded.encode(list(texts), batch_size=self.batch_size, show_progress_bar=False)
+
+
 @dataclass
 class CannedClient:
     """Replies from a list, over and over; the same prompt always gets the same one."""

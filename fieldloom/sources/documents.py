@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators.mapping import BROADCAST_ROWS
+from fieldloom.operators.numbering import numbered
 from fieldloom.schemas import DOCUMENTS
 
 SAMPLES = {
     "reviews": [f"product: {p}\nrating: {r}\nbrand: {b}\nverdict: {v}" for p, r, b, v in (("lamp", 4, "Lumo", "bright"), ("kettle", 2, "Heatwell", "leaks"), ("desk", 5, "lumo", "solid"), ("chair", 3, "Sitwell", "fine"), ("fan", 1, "HEATWELL", "loud"))],
+    "cases": [f"case: {c}\nage: {a}\nfinding: {f}\noutcome: {o}" for c, a, f, o in (("A-17", 41, "Seizure", "stable"), ("A-18", 7, "ataxia", "improved"), ("B-02", 63, "SEIZURE", "stable"), ("B-09", 29, "Fever", "resolved"))],
     "tickets": [f"subject: {s}\npriority: {p}\nresolved: {r}" for s, p, r in (("cannot log in", "high", "true"), ("wrong invoice", "low", "false"), ("app crashes", "High", "false"), ("slow search", "medium", "true"))],
 }
 
@@ -31,8 +34,8 @@ def from_table(df: DataFrame, content: str = "text", doc_id: str = "doc_id", sou
 def load_glob(spark: SparkSession, pattern: str, ordinal: int = 0) -> DataFrame:
     """A document for each file that matches, named by its file name; files that aren't UTF-8 are left out.
 
-    ``**`` stands for any depth of folders. ``doc_ord`` keeps the order of paths: files are
-    range-partitioned and sorted by path, and numbered within partitions.
+    ``**`` stands for any depth of folders. ``doc_ord`` is the place in the order of paths: these are
+    listed and numbered first, without reading a file, and the numbers travel to the contents.
     """
     root, deep, rest = pattern.partition("**/")
     reader = spark.read.format("binaryFile")
@@ -45,11 +48,14 @@ def load_glob(spark: SparkSession, pattern: str, ordinal: int = 0) -> DataFrame:
             return _empty(spark)
         raise
     valid = files.where(F.is_valid_utf8(F.col("content").cast("string")))
-    ranked = valid.select("path", F.col("content").cast("string").alias("content")).repartitionByRange("path").sortWithinPartitions("path")
+    places = numbered(files.select(F.col("path").alias("p")), "p", out="place")
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = valid.select("path", F.col("content").cast("string").alias("content"))
+    ranked = texts.join(F.broadcast(places) if few else places, F.col("path") == F.col("p"))
     name = F.element_at(F.split("path", "/"), -1)
     where = F.regexp_replace("path", "^file:(//)?", "")
     return ranked.select(
-        (F.monotonically_increasing_id() + F.lit(ordinal << 56)).alias("doc_ord"), name.alias("doc_id"), "content", where.alias("source"), F.create_map().cast("map<string,string>").alias("metadata")
+        (F.col("place") + F.lit(ordinal << 48)).alias("doc_ord"), name.alias("doc_id"), "content", where.alias("source"), F.create_map().cast("map<string,string>").alias("metadata")
     )
 
 

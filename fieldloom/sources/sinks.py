@@ -27,9 +27,11 @@ def to_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def to_json_array(df: DataFrame, most: int = 100_000) -> str:
-    """One JSON array, for results that fit the driver; more rows than ``most`` are refused."""
-    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write them with to_json")
-    return "[" + ",\n".join(r.j for r in rows) + "]"
+def to_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array in a local file; rows come to the driver a partition at a time, so their number isn't bounded."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for k, r in enumerate(rows.toLocalIterator()):
+            f.write(",\n" * (k > 0) + r.j)
+        f.write("]\n")

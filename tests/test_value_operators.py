@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.errors import DiscoveryError, NormalizationError, SchemaError
 from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import canonical, cascade, clustering, discovery, mapping, ontology, profile, registry
-from fieldloom.operators.checkpoint import Checkpoint
+from fieldloom.operators.checkpoint import Checkpoint, versions
 from fieldloom.operators.extraction import LLMDirectExtraction
 from fieldloom.pipeline import Pipeline
 from fieldloom.providers import CannedClient, HashEmbeddings, RuleClient
@@ -104,7 +104,7 @@ def test_learning(spark, tmp_path):
     assert cache.load_dictionary(spark, "f") is None and cache.load_all(spark).count() == 0
     for conf, to in ((0.9, "A"), (0.8, "B"), (0.95, "C")):
         cache.save(Sure({"a": to}, conf).normalize(v, "f"))
-    assert cache._versions(spark) == [1, 2, 3]
+    assert versions(spark, cache.path) == [1, 2, 3]
     assert as_dict(cache.load_dictionary(spark, "f").normalize(values(spark, ["A", "q"]))) == {"A": "C", "q": "q"}
 
 
@@ -225,7 +225,7 @@ def test_search_crowding_and_parts(spark, monkeypatch):
         assert [r.id for r in find(q.where("value = 'q'"), index, 2).collect()] == ["x"]
         assert {r.score for r in find(q.where("value = 'zero'"), index, 2).collect()} == {0.0}
     whole = {(r.value, r.id, round(r.score, 9)) for r in ontology.search_matrix(q, index, 2).collect()}
-    monkeypatch.setattr(ontology, "INDEX_ROWS", 3)
+    monkeypatch.setattr(ontology, "INDEX_BYTES", 600)
     assert {(r.value, r.id, round(r.score, 9)) for r in ontology.search_matrix(q, index, 2).collect()} == whole
     assert ontology.search_matrix(q, index.limit(0)).count() == 0
 
@@ -303,9 +303,9 @@ def test_sinks(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/j").first().value) == {"k": 1, "l": ["a", 'q"'], "s": None}
     sinks.to_parquet(df, f"{tmp_path}/p")
     assert spark.read.parquet(f"{tmp_path}/p").first() == df.first()
-    assert json.loads(sinks.to_json_array(df)) == [{"k": 1, "l": ["a", 'q"'], "s": None}] and sinks.to_json_array(df.limit(0)) == "[]"
-    with pytest.raises(ValueError):
-        sinks.to_json_array(spark.range(5), 4)
+    array = lambda d: (sinks.to_json_array(d, f"{tmp_path}/a.json"), json.loads((tmp_path / "a.json").read_text()))[1]
+    assert array(df) == [{"k": 1, "l": ["a", 'q"'], "s": None}] and array(df.limit(0)) == []
+    assert array(spark.range(5).orderBy("id")) == [{"id": k} for k in range(5)]
 
 
 def test_registry(spark, tmp_path):
@@ -357,7 +357,10 @@ def test_whole_flow(spark, tmp_path):
     got = flow.run(spark, documents.load_samples(spark))
     assert got.records.count() == 5 and got.errors.count() == 0
     brands = {r.brand for r in got.normalized_records().collect()}
-    assert len(brands) == 3 and got.report().where("is_total").first().calls == 5
+    assert len(brands) == 3 and got.report().where("is_total").first().calls == 8
+    calls = {r.stage: r.calls for r in got.report().where("NOT is_total").collect()}
+    assert calls == {"discovery": 1, "extraction": 5, "selection": 1, "normalization": 1}
+    assert got.usage.where("latency_ms <= 0").count() == 0
     got.to_parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     assert flow.estimate_cost(documents.load_samples(spark)).first().n_documents == 5
