@@ -71,7 +71,7 @@ def estimate_chunks(content: Column, chunk_size: int = 4000, overlap: int = 200)
 TOKEN = r"(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\r\n\f])[ \t\r\n\f]*"
 
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n+|$)")
+_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*[ \t\r\n\f\v]*|\n+|$)")
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

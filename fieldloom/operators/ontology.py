@@ -130,7 +130,7 @@ def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataF
                     some = pdf.iloc[a : a + 256]
                     q = np.asarray(some.embedding.tolist(), dtype=np.float64)
                     q /= _lengths(q)
-                    s = q @ m.T
+                    s = np.round(q @ m.T, 12)  # equal vectors tie, whatever the order of additions
                     # Ties at the edge are settled by index order, so the cut keeps all of them.
                     edge = np.partition(s, -keep, axis=1)[:, -keep] if keep < len(ids) else s.min(axis=1)
                     rows = [(v, ids[j], names[j], ords[j], float(s[i, j])) for i, v in enumerate(some.value) for j in np.flatnonzero(s[i] >= edge[i])]

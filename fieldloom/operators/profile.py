@@ -114,7 +114,8 @@ def samples(records: DataFrame, fields: Sequence[str], k: int = 20) -> DataFrame
 
 def sample(docs: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """``n`` documents in the order of a hash of their identifier: the same each time."""
-    return docs.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return docs.orderBy(key, id_col).limit(n)
 
 
 def head(docs: DataFrame, n: int = 10, order_col: str = "doc_ord") -> DataFrame:

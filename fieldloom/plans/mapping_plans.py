@@ -284,11 +284,6 @@ FIELD_SAMPLES = " UNION ALL ".join(
 )
 
 
-def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampling operator: its limit is the feature."""
-    return profile.sample(documents(spark, sf_dir), 20).select("doc_ord", "doc_id")
-
-
 def head_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.head(documents(spark, sf_dir), 10).select("doc_ord", "doc_id")
 
@@ -381,23 +376,9 @@ SELECT name, CAST(version AS INTEGER) AS version, json_schema FROM v WHERE versi
 """
 
 
-def three_stage_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of a discovered schema and their coverage in the last stage, over the built-in samples."""
-    def model(prompt: str) -> str:
-        if prompt.startswith("Extract"):
-            return field_lines_extract(prompt)
-        if prompt.startswith("Reply with add_fields"):
-            return json.dumps({"add_fields": {"verdict": {"type": "string"}}})
-        return json.dumps(object_of(product="string", rating="integer", price="number"))
-
-    strategy = ThreeStageDiscovery(RuleClient(model))
-    strategy.discover(load_samples(spark, "reviews"))
-    return spark.createDataFrame(sorted(strategy.reports["final"].items()), "field string, coverage double")
-
-
 QUERIES = {f.__name__: f for f in (
     field_values, distinct_in_order, dict_exact, dict_ci, dict_clusters, apply_scalar, apply_array, explain_mapping, to_dictionary, composite_route, cascade_identity,
     cascade_confidence, cascade_counts, learned_upsert, learn_merge, resume_anti, field_coverage, gap_analysis, coverage_listing, field_select_stats, field_samples,
-    sample_documents, head_documents, group_merge, hier_merge, canonicalize_rules, schema_diff, schema_versions, three_stage_discovery,
+    head_documents, group_merge, hier_merge, canonicalize_rules, schema_diff, schema_versions, 
 )}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

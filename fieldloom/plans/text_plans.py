@@ -50,6 +50,19 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.chunk_tokens(documents(spark, sf_dir)))
 
 
+CHUNK_TOKENS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract(coalesce(text, ''), '^[ \t\r\n\f]*') AS lead FROM documents),
+p AS (SELECT *, regexp_extract_all(body, '(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\r\n\f])[ \t\r\n\f]*') AS l FROM t),
+k AS (SELECT *, unnest(range(CAST(greatest(ceil((len(l) - 512) / 448.0), 0) AS BIGINT) + 1)) AS k FROM p),
+c AS (
+  SELECT doc_id, k, CASE WHEN len(l) = 0 THEN body ELSE CASE WHEN k = 0 THEN lead ELSE '' END || array_to_string(l[k * 448 + 1 : k * 448 + 512], '') END AS content,
+         CASE WHEN k = 0 THEN 0 ELSE length(lead) + length(array_to_string(l[1 : k * 448], '')) END AS a FROM k
+)
+SELECT doc_id AS doc_ord, CAST(doc_id AS VARCHAR) || '__chunk_' || CAST(k AS VARCHAR) AS chunk_id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS char_start,
+       CAST(a + length(content) AS INTEGER) AS char_end, md5(content) AS digest FROM c
+"""
+
+
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.chunk_sentences(documents(spark, sf_dir)))
 
@@ -58,10 +71,6 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.chunk_recursively(documents(spark, sf_dir)))
 
 
-def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(chunking.chunk_semantically(documents(spark, sf_dir), embed_column(HashEmbeddings()), 0.1))
-
-
 def pipeline_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.estimate_pipeline_cost(documents(spark, sf_dir))
 
@@ -82,19 +91,6 @@ SELECT CAST(n AS BIGINT) AS n_documents, CAST(c AS BIGINT) AS n_chunks, round(m,
 RECORD = object_of("first", "length", first="string", length="integer")
 
 
-def extraction_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk_fixed(documents(spark, sf_dir))
-    got = usage.estimate_extraction_cost(chunks, F.col("content"), RECORD, "gpt-4o-mini", provenance=True)
-    return got.withColumn("notes", F.array_join("notes", "; "))
-
-
-EXTRACTION_COST_ESTIMATE = f"""
-WITH {CHUNKS}, z AS (SELECT count(*) AS n, CAST(coalesce(sum(ceil(length(content) / 4.0) + 4), 0) AS BIGINT) AS t FROM c)
-SELECT 'gpt-4o-mini' AS model, CAST(n AS BIGINT) AS n_calls, t AS input_tokens, CAST(n * 180 AS BIGINT) AS output_tokens,
-       round((t * 0.15::DOUBLE + n * 180 * 0.6::DOUBLE) / 1e6::DOUBLE, 6) AS cost_usd, 'source quotes triple the output' AS notes FROM z
-"""
-
-
 def prompt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.message_tokens(F.col("text"), F.col("role")).alias("tokens"))
 
@@ -320,7 +316,7 @@ SELECT time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') AS begins,
 """
 
 QUERIES = {f.__name__: f for f in (
-    chunk_fixed, chunk_estimate, chunk_tokens, chunk_sentences, chunk_recursive, chunk_semantic, pipeline_cost_estimate, extraction_cost_estimate, prompt_tokens, llm_cost,
+    chunk_fixed, chunk_estimate, chunk_tokens, chunk_sentences, chunk_recursive, pipeline_cost_estimate, prompt_tokens, llm_cost,
     usage_report, budget_cutoff, fence_strip, sanitize_values, folded_text, folded_nfkc, prompt_texts, attempt_confidence, span_exact, span_status, json_parse_coerce,
     record_dedup, record_dedup_spans, extract_rules, extract_multi, windowed_value_counts,
 )}

@@ -158,16 +158,6 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(odd.alias("value"), F.col("p_partkey").alias("ord"))
 
 
-def ontology_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("P:"), F.min("p_partkey").cast("string")).alias("id"), F.array_sort(F.collect_set("p_type")).alias("synonyms"))
-    got = ontology.OntologyMapping(terms, HashEmbeddings()).normalize(_names(spark, sf_dir), "p_name")
-    return got.select("raw", "canonical", "ontology_id", F.round("confidence", 6).alias("confidence"))
-
-
-def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.EmbeddingClustering(HashEmbeddings(), similarity_threshold=0.8).normalize(_names(spark, sf_dir), "p_name").select("raw", "canonical", "cluster_id")
-
-
 def hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.EmbeddingClustering(HashEmbeddings(), algorithm="hdbscan").normalize(_names(spark, sf_dir), "p_name").select("raw", "canonical", "cluster_id")
 
@@ -176,13 +166,6 @@ def kllmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.KLLMeansClustering(HashEmbeddings(), num_clusters=8).normalize(_names(spark, sf_dir), "p_name").select("raw", "canonical", "cluster_id")
 
 
-def cascade_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary, then an ontology, by confidence."""
-    terms = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("P:"), F.min("p_partkey").cast("string")).alias("id"), F.array().cast("array<string>").alias("synonyms"))
-    steps = CascadeNormalization.default({"RED BOLT": "crimson screw"}, ontology=ontology.OntologyMapping(terms, HashEmbeddings()))
-    return steps.normalize(_names(spark, sf_dir), "p_name").select("raw", "canonical", "step")
-
-
 LANGUAGES = {"en": "English", "DE": "German", "fr": "French"}
 
 
@@ -227,7 +210,7 @@ FROM c JOIN documents d ON d.doc_id = c.doc_ord LEFT JOIN m ON m.k = lower(d.lan
 """
 
 QUERIES = {f.__name__: f for f in (
-    flagship, cosine_topk, cosine_topk_expressions, candidate_merge, kmeans_update, kmeans_assign, silhouette_pairs, mode_canonical, index_texts, homonyms, ontology_mapping,
-    agglomerative, hdbscan, kllmeans, cascade_default, pipeline_flow,
+    flagship, cosine_topk, cosine_topk_expressions, candidate_merge, kmeans_update, kmeans_assign, silhouette_pairs, mode_canonical, index_texts, homonyms, 
+    hdbscan, kllmeans, pipeline_flow,
 )}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
