@@ -20,8 +20,8 @@ from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct
 
 #: Distinct values of one field that hierarchical clustering takes: its distance matrix grows with their square.
 LARGEST = 8000
-#: Points of one side of a block of pairs.
-PAIR_BLOCK = 512
+#: Bytes of points that all others are compared with at a time.
+BLOCK_BYTES = 16 << 20
 
 
 def mode_canonical(members: DataFrame) -> DataFrame:
@@ -55,35 +55,48 @@ def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame) -> DataFrame:
     """``(id, silhouette)`` for ``points(id, v, k)`` by Euclidean distance; a cluster of one point scores 0.
 
-    All pairs meet, as matrix products of blocks of about ``PAIR_BLOCK`` points: what a pair of
-    blocks sends on is a sum for each point and cluster, not its distances.
+    All points meet blocks of all points, as matrix products: a block of about ``BLOCK_BYTES`` at a
+    time goes to the tasks, and what comes of it is a sum for each point and cluster. Neither vectors
+    nor distances are shuffled, and no task holds more than a block.
     """
-    blocks = max(1, -(-points.count() // PAIR_BLOCK))
     kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    packed = points.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.struct("id", "k", doubles(F.col("v")).alias("v")).alias("p")).groupBy("b").agg(F.collect_list("p").alias("p"))
-    pairs = packed.crossJoin(packed.select(F.col("b").alias("b2"), F.col("p").alias("p2"))).repartition("b", "b2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                left, right = batch.column("p")[i].values, batch.column("p2")[i].values
-                x, y = (np.array(side.field("v").to_pylist(), dtype=np.float64) for side in (left, right))
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :], 0))
-                if batch.column("b")[i].as_py() == batch.column("b2")[i].as_py():
-                    np.fill_diagonal(d, 0)
-                clusters = right.field("k").to_pylist()
-                names = list(dict.fromkeys(clusters))
-                member = np.array([[c == n for n in names] for c in clusters], dtype=np.float64)
-                n = len(left)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([left.field("id")] * len(names)), pa.concat_arrays([left.field("k")] * len(names)),
-                        pa.array([c for c in names for _ in range(n)], left.field("k").type), pa.array((d @ member).T.ravel()), pa.array(np.repeat(member.sum(0), n)),
-                    ],
-                    ["id", "k", "k2", "s", "n"],
-                )
-
-    parts = pairs.select("b", "p", "b2", "p2").mapInArrow(run, f"id {kind['id']}, k {kind['k']}, k2 {kind['k']}, s double, n double")
+    mine = cut(points.select("id", "k", doubles(F.col("v")).alias("v")))
+    size = mine.agg(F.sum(8 * F.size("v") + 32)).first()[0] or 0
+    blocks, parts = max(1, -(-int(size) // BLOCK_BYTES)), None
+    for b in range(blocks):
+        block = mine.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("k", "v").toArrow()  # about BLOCK_BYTES
+        if not block.num_rows:
+            continue
+        y = np.array(block.column("v").to_pylist(), dtype=np.float64)
+        clusters = block.column("k").to_pylist()
+        names = list(dict.fromkeys(clusters))
+        place = {c: i for i, c in enumerate(names)}
+        member = np.zeros((len(clusters), len(names)))
+        member[np.arange(len(clusters)), [place[c] for c in clusters]] = 1
+
+        def run(batches: Iterator[pa.RecordBatch], y=y, member=member, names=names) -> Iterator[pa.RecordBatch]:
+            squares, counts = (y**2).sum(1)[None, :], member.sum(0)
+            step = max(1, (4 << 20) // len(y))  # distances that a task holds at a time
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    some = batch.slice(lo, step)
+                    x = np.array(some.column("v").to_pylist(), dtype=np.float64)
+                    both = (x**2).sum(1)[:, None] + squares
+                    d = both - 2 * x @ y.T
+                    d = np.sqrt(np.where(d < 1e-12 * both, 0, d))  # a point and itself, or its like, are at no distance
+                    n = len(x)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.concat_arrays([some.column("id")] * len(names)), pa.concat_arrays([some.column("k")] * len(names)),
+                            pa.array([c for c in names for _ in range(n)], some.column("k").type), pa.array((d @ member).T.ravel()), pa.array(np.repeat(counts, n)),
+                        ],
+                        ["id", "k", "k2", "s", "n"],
+                    )
+
+        one = mine.mapInArrow(run, f"id {kind['id']}, k {kind['k']}, k2 {kind['k']}, s double, n double")
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return mine.select("id", F.lit(0.0).alias("silhouette"))
     sums = parts.groupBy("id", "k", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     others = F.when(F.col("k") == F.col("k2"), F.col("n") - 1).otherwise(F.col("n"))
     means = sums.withColumn("m", F.when(others > 0, F.col("s") / others))

@@ -19,6 +19,8 @@ from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct, in_f
 
 #: Bytes of index vectors that the matrix search sends to every task; a larger index is searched in parts.
 INDEX_BYTES = 64 << 20
+#: Index texts up to which the search by expressions takes them along as a list.
+LISTED = 2000
 AUGMENT_BELOW = 0.95
 
 
@@ -89,13 +91,15 @@ def top_candidates(entries: DataFrame, top_k: int) -> DataFrame:
 def search(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataFrame:
     """``(value, id, name, score, rank)`` for ``queries(value, embedding)`` by cosine, in built-in expressions.
 
-    Every query meets every index text, and only scores travel on; ``search_matrix`` is the
-    way for large indexes.
+    The index goes to the queries' tasks as one list, of at most ``LISTED`` texts; a larger one is
+    searched by ``search_matrix``.
     """
+    if index.limit(LISTED + 1).count() > LISTED:
+        return search_matrix(queries, index, top_k)
     q = queries.select("value", doubles(F.col("embedding")).alias("__q"))
-    terms = index.select("id", "name", "text_ord", doubles(F.col("embedding")).alias("__t"))
-    scored = q.crossJoin(terms).select("value", "id", "name", "text_ord", cosine(F.col("__q"), F.col("__t")).alias("score"))
-    return _best(scored, top_k)
+    terms = index.agg(F.collect_list(F.struct("id", "name", "text_ord", doubles(F.col("embedding")).alias("t"))).alias("__terms")).withColumn("__one", F.lit(1))
+    met = q.withColumn("__one", F.lit(1)).join(F.broadcast(terms), "__one").select("value", "__q", F.explode("__terms").alias("e"))
+    return _best(met.select("value", "e.id", "e.name", "e.text_ord", cosine(F.col("__q"), F.col("e.t")).alias("score")), top_k)
 
 
 def _lengths(rows: np.ndarray) -> np.ndarray:

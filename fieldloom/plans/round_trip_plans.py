@@ -144,7 +144,7 @@ def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHECKPOINT_RESUME = """
 SELECT doc_id AS doc_ord, CASE WHEN length(coalesce(text, '')) % 10 <> 0 THEN substring(text, 1, 1) END AS first, CASE WHEN length(coalesce(text, '')) % 10 = 0 THEN 'ExtractionError' END AS error,
-       CASE WHEN length(coalesce(text, '')) % 10 = 0 AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_rows, CASE WHEN length(coalesce(text, '')) % 10 <> 0 THEN 1 ELSE 0 END AS done FROM documents
+       CAST(CASE WHEN length(coalesce(text, '')) % 10 = 0 AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_rows, CASE WHEN length(coalesce(text, '')) % 10 <> 0 THEN 1 ELSE 0 END AS done FROM documents
 """
 
 
@@ -154,7 +154,8 @@ def pipeline_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     flow.run(spark, docs, schema=LETTERS)
     again = flow.run(spark, docs)
-    return again.report().where("is_total").select("calls").crossJoin(again.to_dataframe().agg(F.count("*").alias("records"))).crossJoin(again.errors.agg(F.count("*").alias("errors")))
+    counts = (again.report().where("is_total").first().calls, again.to_dataframe().count(), again.errors.count())
+    return spark.createDataFrame([counts], "calls bigint, records bigint, errors bigint")
 
 
 PIPELINE_CHECKPOINT = """

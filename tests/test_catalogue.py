@@ -45,3 +45,21 @@ def test_entry_module():
     names = set(again.queries())
     assert set(catalogue.QUERIES) <= names and set(again.oracle_sql()) <= names
     assert ("pipeline" in names) == again.HAS_PIPELINE
+
+
+def test_missing_libraries_of_the_training_operators_leave_the_other_queries(monkeypatch):
+    real = importlib.import_module
+
+    def missing(name, *args):
+        if name == "fieldloom.llm.queries":
+            raise ModuleNotFoundError("no such library")
+        return real(name, *args)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    try:
+        alone = importlib.reload(driver)
+        assert set(alone.queries()) == set(catalogue.QUERIES) and set(alone.oracle_sql()) == set(catalogue.ORACLE_SQL)
+        assert not alone.HAS_LLM and not alone.HAS_PIPELINE
+    finally:
+        monkeypatch.undo()
+        importlib.reload(driver)

@@ -208,3 +208,13 @@ def test_files_are_numbered_by_path(spark, tmp_path):
     rows = documents.load_glob(spark, f"{tmp_path}/*.txt").orderBy("doc_ord").collect()
     assert [(r.doc_id, r.content) for r in rows] == [(f"f{k}.txt", f"text {k}") for k in (1, 2, 3)]
     assert documents.load_samples(spark, "cases").count() == 4 and profile.head(documents.load_samples(spark), 2).count() == 2
+
+
+def test_search_by_expressions_takes_larger_indexes_as_matrices(spark, monkeypatch):
+    index = spark.createDataFrame([(f"e{k}", "n", 0, [1.0, float(k)]) for k in range(6)], "id string, name string, text_ord int, embedding array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 1.0])], "value string, embedding array<double>")
+    rows = lambda: sorted((r.value, r.id, round(r.score, 9), r.rank) for r in ontology.search(queries, index, 2).collect())
+    want = rows()
+    assert [r[1] for r in want] == ["e2", "e3", "e5", "e4"]
+    monkeypatch.setattr(ontology, "LISTED", 3)
+    assert rows() == want

@@ -170,7 +170,7 @@ def test_k_means_steps(spark):
 def test_silhouette_blocks(spark, monkeypatch):
     x, y = blobs()
     pts = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))] + [(99, [5.0, 5.0, 5.0], 9)], "id int, v array<double>, k int")
-    monkeypatch.setattr(clustering, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(clustering, "BLOCK_BYTES", 600)
     got = as_dict(clustering.silhouette(pts), "id", "silhouette")
     assert len(got) == 46 and got[99] == 0.0
     assert sum(got.values()) / 46 == pytest.approx(clustering.silhouette_score(np.vstack([x, [[5, 5, 5]]]), np.append(y, 9)))
