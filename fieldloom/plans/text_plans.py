@@ -67,6 +67,32 @@ def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.chunk_sentences(documents(spark, sf_dir)))
 
 
+CHUNK_SENTENCES = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+s AS (SELECT doc_id, body, list_filter(regexp_extract_all(body, '[^.!?\n]*(?:[.!?]+["'')\]]*[ \t\r\n\f\v]*|\n+|$)'), lambda x: length(x) > 0) AS l FROM t),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i, len(l) AS n FROM s),
+u AS (
+  SELECT doc_id, i, n, coalesce(sum(length(x)) OVER w, 0) AS a, coalesce(sum(length(x)) OVER w, 0) + length(x) AS b,
+         coalesce(sum(ceil(length(x) / 4.0)) OVER w, 0) AS p, coalesce(sum(ceil(length(x) / 4.0)) OVER w, 0) + ceil(length(x) / 4.0) AS q
+  FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+j AS (SELECT x.doc_id, x.i, max(y.i) + 1 AS j FROM u x JOIN u y ON x.doc_id = y.doc_id AND y.i >= x.i AND (y.i = x.i OR y.q - x.p <= 512) GROUP BY 1, 2),
+k AS (SELECT j.doc_id, j.i, j.j, f.a, g.b, g.q, g.n FROM j JOIN u f ON f.doc_id = j.doc_id AND f.i = j.i JOIN u g ON g.doc_id = j.doc_id AND g.i = j.j - 1),
+h AS (SELECT k.doc_id, k.i, min(z.i) AS i2 FROM k JOIN u z ON z.doc_id = k.doc_id AND z.i > k.i AND z.i <= k.j AND k.q - z.p <= 64 WHERE k.j < k.n GROUP BY 1, 2),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, 0 AS c FROM s WHERE len(l) > 0
+  UNION ALL
+  SELECT w.doc_id, h.i2, w.c + 1 FROM walk w JOIN h ON h.doc_id = w.doc_id AND h.i = w.i
+),
+o AS (
+  SELECT walk.doc_id, c, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, body FROM walk JOIN k ON k.doc_id = walk.doc_id AND k.i = walk.i JOIN s ON s.doc_id = walk.doc_id
+  UNION ALL SELECT doc_id, 0, 0, 0, body FROM s WHERE len(l) = 0
+)
+SELECT doc_id AS doc_ord, CAST(doc_id AS VARCHAR) || '__chunk_' || CAST(c AS VARCHAR) AS chunk_id, CAST(c AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS char_start,
+       CAST(b AS INTEGER) AS char_end, md5(substring(body, a + 1, b - a)) AS digest FROM o
+"""
+
+
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.chunk_recursively(documents(spark, sf_dir)))
 

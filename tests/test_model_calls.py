@@ -215,6 +215,6 @@ def test_search_by_expressions_takes_larger_indexes_as_matrices(spark, monkeypat
     queries = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 1.0])], "value string, embedding array<double>")
     rows = lambda: sorted((r.value, r.id, round(r.score, 9), r.rank) for r in ontology.search(queries, index, 2).collect())
     want = rows()
-    assert [r[1] for r in want] == ["e2", "e3", "e5", "e4"]
+    assert [r[1] for r in want] == ["e2", "e3", "e4", "e5"]
     monkeypatch.setattr(ontology, "LISTED", 3)
     assert rows() == want
