@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.shared import connected_components, cut, fresh
+from fieldloom.llm.shared import connected_components, cut, fresh, setting
 from fieldloom.llm.textbytes import mix, slices, words
 
 SHINGLE = 3
@@ -52,6 +52,8 @@ HELD = 1 << 16
 EDGE = CROWD + 1
 #: Parts of the orders: of about so many entries, up to so many parts.
 PART_ROWS, PARTS = 1 << 16, 1 << 14
+#: Keys a part that the driver sees to choose where parts begin: they are long, and parts needn't be of one size.
+SPLITTER_SAMPLE = 20
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -300,8 +302,9 @@ def forest_links(entries: DataFrame, threshold: float) -> DataFrame:
     order = ["tree", "label", "sketch", "rep"]
     parts = max(1, min(entries.count() * TREES // PART_ROWS, PARTS))
     while True:
-        forest = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        found = cut(forest.mapInArrow(_link(threshold, parts), _FOUND))
+        with setting(entries.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SPLITTER_SAMPLE)):
+            forest = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+            found = cut(forest.mapInArrow(_link(threshold, parts), _FOUND))
         # A part that is shorter than an edge would hide what lies behind it.
         if parts == 1 or (found.where("held IS NOT NULL").agg(F.min("held")).first()[0] or 0) >= EDGE:
             break

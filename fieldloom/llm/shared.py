@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.checkpoint import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "connected_components", "cut", "delete", "fresh", "scratch"]
+__all__ = ["checkpoint_dir", "connected_components", "cut", "delete", "fresh", "scratch", "setting"]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -20,6 +20,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs within."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables checkpointed within are removed at the end: what was made from them must be written by then."""
