@@ -44,8 +44,8 @@ def _removed(df: DataFrame) -> DataFrame:
     )
     reach = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda p: F.sequence(p, p + (SIZE - 1)))))
     by_doc = hit.groupBy("doc_id").agg(
-        F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("later"),
-        F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("first"),
+        F.collect_set(F.when(~F.col("stays"), F.col("pos"))).alias("later"),
+        F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("first"),
     )
     gone = F.array_sort(F.array_except(reach(F.col("later")), reach(F.col("first"))))
     return by_doc.select("doc_id", gone.alias("gone")).where(F.size("gone") > 0)
