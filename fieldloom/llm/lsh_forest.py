@@ -338,15 +338,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("labels").alias("labels"))
     )
-    links = forest_links(entries, threshold)
-    member = signed.where("set_key IS NOT NULL").select("doc_id", "set_key")
-    copies = member.join(entries.select("set_key", "rep"), "set_key").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    groups = connected_components(links.union(copies))
-    everyone = signed.select("doc_id").distinct()
-    group = F.coalesce(F.col("root"), F.col("doc_id"))
-    return everyone.join(groups, everyone.doc_id == groups.node, "left").select(
-        "doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("is_kept")
-    )
+    # Copies follow their entry and take no part in the search for components, so a set of thousands is no hot node.
+    member = signed.where("set_key IS NOT NULL").select("doc_id", "set_key").join(entries.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    own = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    several = own.where("rep < other").select("doc_id", F.col("rep").alias("u"))  # identifiers that repeat with other texts
+    same = member.join(several, "doc_id").select("u", F.col("rep").alias("v"))
+    groups = connected_components(forest_links(entries, threshold).union(same))
+    placed = own.join(groups, own.rep == groups.node, "left").select("doc_id", F.coalesce("root", "rep").alias("group"))
+    everyone = signed.select("doc_id").distinct().join(placed, "doc_id", "left")
+    return everyone.select("doc_id", F.coalesce("group", "doc_id").alias("group_id"), F.coalesce(F.col("group") == F.col("doc_id"), F.lit(True)).alias("is_kept"))
 
 
 def _check(docs: DataFrame, id_col: str) -> None:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators.checkpoint import checkpoint_dir, cut
@@ -60,9 +60,9 @@ def fresh(df: DataFrame, name: str) -> str:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of undirected ``edges(u, v)``; root is the component's least node.
 
-    Alternates large-star and small-star steps until the edge set stays the same; each
-    step is two shuffles of at most as many rows as there are edges, and stars with many
-    leaves are handled by window minima rather than by collecting neighbours.
+    Alternates large-star and small-star steps until the edge set stays the same. The least
+    neighbour of a node is an aggregate, combined before its shuffle, and comes back by a join
+    whose hot side may be split: no task holds all neighbours of a node, however many it has.
     Self loops and null ends are dropped; nodes without another node don't appear.
     """
     e = cut(
@@ -73,11 +73,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        star = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

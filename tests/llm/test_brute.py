@@ -138,6 +138,13 @@ def test_forest_parts_and_lots_give_the_same_groups(spark, monkeypatch):
     assert sum(not row.is_kept for row in want) >= 1190
 
 
+def test_identifiers_that_repeat_join_the_groups_of_their_texts(spark):
+    a, b, c = (" ".join(prose(ENGLISH, 40)) for _ in range(3))
+    rows = [(5, a), (3, a), (5, b), (9, b), (7, c), (7, None), (8, None), (8, "")]
+    got = {r.doc_id: (r.group_id, r.is_kept) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {3: (3, True), 5: (3, False), 9: (3, False), 7: (7, True), 8: (8, True)}
+
+
 def test_near_duplicates_need_integers(spark):
     with pytest.raises(TypeError, match="integers"):
         lsh_forest.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
