@@ -8,13 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import canonical, cascade, mapping, profile, registry
 from fieldloom.operators.checkpoint import unprocessed
-from fieldloom.operators.discovery import ThreeStageDiscovery, field_lines_extract
 from fieldloom.plans.tables import documents, table
 from fieldloom.providers import RuleClient
-from fieldloom.sources.documents import load_samples
 
 BRANDS = {f"Brand#{i}": f"House {i % 7}" for i in range(1, 20)}
 KINDS = {"economy": "Budget", "ECONOMY": "Low cost", "small": "Compact", "Promo": "Offer", "LARGE": "LARGE"}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.jsonschema import object_of
 from fieldloom.operators import clustering, mapping, ontology, profile
-from fieldloom.operators.cascade import CascadeNormalization
 from fieldloom.operators.chunking import chunk_fixed
 from fieldloom.operators.extraction import LLMDirectExtraction
 from fieldloom.pipeline import Pipeline

@@ -11,11 +11,23 @@ from fieldloom.operators.mapping import BROADCAST_ROWS
 from fieldloom.operators.numbering import numbered
 from fieldloom.schemas import DOCUMENTS
 
+_REVIEWS = (
+    ("lamp", 4, "Lumo", "bright"), ("kettle", 2, "Heatwell", "leaks"), ("desk", 5, "lumo", "solid"), ("chair", 3, "Sitwell", "fine"), ("fan", 1, "HEATWELL", "loud"),
+    ("stool", 4, "sitwell", "light"), ("heater", 5, "Heatwell", "warm"), ("torch", 2, "LUMO", "dim"), ("bench", 3, "Sitwell", "hard"), ("toaster", 4, "heatwell", "even"),
+)
+_TICKETS = (
+    ("cannot log in", "high", "true"), ("wrong invoice", "low", "false"), ("app crashes", "High", "false"), ("slow search", "medium", "true"), ("no reply", "LOW", "true"),
+    ("export is empty", "high", "false"), ("two charges", "High", "true"), ("broken link", "low", "true"), ("missing mail", "Medium", "false"), ("odd totals", "medium", "false"),
+)
+_CASES = (
+    ("A-17", 41, "Seizure", "stable"), ("A-18", 7, "ataxia", "improved"), ("B-02", 63, "SEIZURE", "stable"), ("B-09", 29, "Fever", "resolved"), ("B-11", 3, "fever", "resolved"),
+    ("C-01", 52, "Ataxia", "stable"), ("C-04", 19, "rash", "improved"), ("C-05", 34, "Rash", "resolved"), ("D-12", 70, "seizure", "improved"), ("D-13", 11, "FEVER", "resolved"),
+)
 SAMPLES = {
-    "reviews": [f"product: {p}\nrating: {r}\nbrand: {b}\nverdict: {v}" for p, r, b, v in (("lamp", 4, "Lumo", "bright"), ("kettle", 2, "Heatwell", "leaks"), ("desk", 5, "lumo", "solid"), ("chair", 3, "Sitwell", "fine"), ("fan", 1, "HEATWELL", "loud"))],
-    "cases": [f"case: {c}\nage: {a}\nfinding: {f}\noutcome: {o}" for c, a, f, o in (("A-17", 41, "Seizure", "stable"), ("A-18", 7, "ataxia", "improved"), ("B-02", 63, "SEIZURE", "stable"), ("B-09", 29, "Fever", "resolved"))],
-    "tickets": [f"subject: {s}\npriority: {p}\nresolved: {r}" for s, p, r in (("cannot log in", "high", "true"), ("wrong invoice", "low", "false"), ("app crashes", "High", "false"), ("slow search", "medium", "true"))],
-}
+    "reviews": [f"product: {p}\nrating: {r}\nbrand: {b}\nverdict: {v}" for p, r, b, v in _REVIEWS],
+    "tickets": [f"subject: {s}\npriority: {p}\nresolved: {r}" for s, p, r in _TICKETS],
+    "cases": [f"case: {c}\nage: {a}\nfinding: {f}\noutcome: {o}" for c, a, f, o in _CASES],
+}
 
 
 def _empty(spark: SparkSession) -> DataFrame:

@@ -207,7 +207,7 @@ def test_files_are_numbered_by_path(spark, tmp_path):
     (tmp_path / "f0.txt").write_bytes(b"\xff\xfe\x00")
     rows = documents.load_glob(spark, f"{tmp_path}/*.txt").orderBy("doc_ord").collect()
     assert [(r.doc_id, r.content) for r in rows] == [(f"f{k}.txt", f"text {k}") for k in (1, 2, 3)]
-    assert documents.load_samples(spark, "cases").count() == 4 and profile.head(documents.load_samples(spark), 2).count() == 2
+    assert documents.load_samples(spark, "cases").count() == 10 and profile.head(documents.load_samples(spark), 2).count() == 2
 
 
 def test_search_by_expressions_takes_larger_indexes_as_matrices(spark, monkeypatch):

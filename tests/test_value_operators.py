@@ -355,15 +355,15 @@ def test_discovery(spark):
 def test_whole_flow(spark, tmp_path):
     flow = Pipeline.quick(RuleClient(model), pricing={"rules": (1.0, 1.0)})
     got = flow.run(spark, documents.load_samples(spark))
-    assert got.records.count() == 5 and got.errors.count() == 0
+    assert got.records.count() == 10 and got.errors.count() == 0
     brands = {r.brand for r in got.normalized_records().collect()}
-    assert len(brands) == 3 and got.report().where("is_total").first().calls == 8
+    assert len(brands) == 3 and got.report().where("is_total").first().calls == 13
     calls = {r.stage: r.calls for r in got.report().where("NOT is_total").collect()}
-    assert calls == {"discovery": 1, "extraction": 5, "selection": 1, "normalization": 1}
+    assert calls == {"discovery": 1, "extraction": 10, "selection": 1, "normalization": 1}
     assert got.usage.where("latency_ms <= 0").count() == 0
     got.to_parquet(f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
-    assert flow.estimate_cost(documents.load_samples(spark)).first().n_documents == 5
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+    assert flow.estimate_cost(documents.load_samples(spark)).first().n_documents == 10
 
 
 def test_resume_and_budget(spark, tmp_path):
@@ -372,9 +372,9 @@ def test_resume_and_budget(spark, tmp_path):
     assert calls.run(spark, docs.where("doc_ord < 2"), schema=LINES).records.count() == 2
     cp = Checkpoint(spark, f"{tmp_path}/cp")
     assert {r.doc_id for r in cp.processed().collect()} == {"reviews_0", "reviews_1"} and cp.load_schema().json_schema == LINES
-    assert calls.run(spark, docs, schema=LINES).records.count() == 5
+    assert calls.run(spark, docs, schema=LINES).records.count() == 10
     poor = Pipeline(extraction=LLMDirectExtraction(RuleClient(model)), max_cost_usd=1e-9, batches=5, pricing={"rules": (1.0, 1.0)}).run(spark, docs, schema=LINES)
-    assert poor.stopped is not None and 0 < poor.records.count() < 5
+    assert poor.stopped is not None and 0 < poor.records.count() < 10
     with pytest.raises(SchemaError):
         calls.__class__().run(spark, docs)
 
