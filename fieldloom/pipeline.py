@@ -190,13 +190,15 @@ class Pipeline:
 
 
 def metered(strategy: object | None, meter: Meter, stage: str) -> object | None:
-    """A copy of a strategy, and of those within it, whose model is metered."""
+    """A copy of a strategy, and of those within it, whose models are metered."""
     if strategy is None or isinstance(strategy, type):
         return strategy
     out = copy.copy(strategy)
     for name in ("client", "llm"):
         if getattr(out, name, None) is not None:
             setattr(out, name, meter.client(getattr(out, name), stage))
+    if getattr(out, "embeddings", None) is not None:
+        out.embeddings = meter.embeddings(out.embeddings, stage)
     if isinstance(getattr(out, "field_strategies", None), Mapping):
         out.field_strategies = {k: metered(v, meter, stage) for k, v in out.field_strategies.items()}
         out.default = metered(out.default, meter, stage)

@@ -90,6 +90,8 @@ class HttpClient:
     max_retries: int = 3
     timeout: float = 120.0
     sleep: Callable[[float], None] = time.sleep
+    #: Tokens of the last ``embed``, as the server counts them.
+    embedded_tokens: int | None = field(default=None, repr=False, compare=False)
 
     def _post(self, path: str, body: Json) -> Json:
         model, url, _ = resolve_provider(self.model, self.base_url)
@@ -133,9 +135,12 @@ class HttpClient:
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         out: list[list[float]] = []
+        used: list[int | None] = []
         for a in range(0, len(texts), 2048):
             got = self._post("/embeddings", {"input": list(texts[a : a + 2048])})
             out += [d["embedding"] for d in sorted(got["data"], key=lambda d: d["index"])]
+            used.append((got.get("usage") or {}).get("prompt_tokens"))
+        self.embedded_tokens = None if None in used else sum(used)
         return out
 
 
@@ -174,6 +179,9 @@ class Meter:
     def client(self, client: LLMClient, stage: str) -> MeteredClient:
         return MeteredClient(client, stage, self.sums)
 
+    def embeddings(self, client: EmbeddingClient, stage: str) -> MeteredEmbeddings:
+        return MeteredEmbeddings(client, stage, self.sums)
+
     def rows(self) -> list[tuple]:
         found = sorted(self.sums.value.items())
         return [(k, stage, model, int(n), int(i), int(o), float(ms)) for k, ((stage, model), (n, i, o, ms)) in enumerate(found)]
@@ -204,6 +212,24 @@ class MeteredClient:
 _METERED = threading.Lock()
 
 
+@dataclass
+class MeteredEmbeddings:
+    """Embeddings whose calls a meter counts: the tokens that the server names, else four characters each."""
+
+    client: EmbeddingClient
+    stage: str
+    sums: Any
+
+    def embed(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        began = time.perf_counter()
+        out = self.client.embed(texts)
+        used = getattr(self.client, "embedded_tokens", None)
+        used = sum(map(tokens, texts)) if used is None else used
+        with _METERED:
+            self.sums.add({(self.stage, getattr(self.client, "model", type(self.client).__name__)): (1, used, 0, 1000 * (time.perf_counter() - began))})
+        return out
+
+
 @dataclass
 class LocalEmbeddings:
     """Embeddings by a model on the workers' own machines; needs the sentence-transformers library there."""

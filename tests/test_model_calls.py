@@ -13,7 +13,7 @@ from fieldloom.operators import cascade, chunking, clustering, mapping, ontology
 from fieldloom.operators.checkpoint import versions
 from fieldloom.operators.extraction import LLMDirectExtraction, conforms, lax
 from fieldloom.operators.numbering import numbered
-from fieldloom.pipeline import Pipeline
+from fieldloom.pipeline import Pipeline, metered
 from fieldloom.providers import CannedClient, HashEmbeddings, HttpClient, LocalEmbeddings, Meter, RuleClient, _said, in_flight
 from fieldloom.errors import ProviderError
 from fieldloom.schemas import DOCUMENTS
@@ -218,3 +218,15 @@ def test_search_by_expressions_takes_larger_indexes_as_matrices(spark, monkeypat
     assert [r[1] for r in want] == ["e2", "e3", "e4", "e5"]
     monkeypatch.setattr(ontology, "LISTED", 3)
     assert rows() == want
+
+
+def test_embeddings_are_metered(spark, monkeypatch):
+    meter = Meter(spark)
+    step = metered(ontology.OntologyMapping(entries(spark), HashEmbeddings()), meter, "normalization")
+    step.normalize(spark.createDataFrame([("fit",)], "value string")).collect()
+    (row,) = meter.table().collect()
+    assert (row.stage, row.model, row.output_tokens) == ("normalization", "HashEmbeddings", 0) and row.calls >= 2 and row.input_tokens >= 5
+    monkeypatch.setattr(HttpClient, "_post", lambda self, path, message: {"data": [{"index": k, "embedding": [1.0]} for k in range(len(message["input"]))], "usage": {"prompt_tokens": 7}})
+    counted = Meter(spark)
+    assert counted.embeddings(HttpClient("text-embedding-3-small"), "x").embed(["a", "b"]) == [[1.0], [1.0]]
+    assert [(r.model, r.calls, r.input_tokens) for r in counted.table().collect()] == [("text-embedding-3-small", 1, 7)]
