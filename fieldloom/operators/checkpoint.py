@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 from dataclasses import asdict, dataclass
 
@@ -13,7 +15,7 @@ from fieldloom.schemas import Schema
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set, and only on one machine."""
+    """The shared folder of the session; one of our own only where none is set, and only on one machine: it goes with the program."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -23,6 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir(folder)
     return folder
 
