@@ -95,6 +95,32 @@ def test_chains_of_assignments_take_linear_room():
     assert ends.max() == len(text) and (ends - starts).sum() <= 300 * len(text)
 
 
+def test_all_bytes_of_values_within_values_are_candidates():
+    text = b"u=x=" + b"la," * 300 + b"y=" + b"lo," * 300 + b" end"
+    starts, ends, _ = secrets.candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    y, whole = text.index(b"y=") + 2, text.index(b" end")
+    assert {(2, whole), (4, 4 + secrets.NESTED), (4, y), (y, y + secrets.NESTED), (y, whole)} <= set(zip(starts.tolist(), ends.tolist()))
+
+
+def test_secrets_within_values_are_found_whole(spark):
+    scan, r = secrets.train(findings.labelled(4000)), random.Random(5)
+    token, other = "".join(r.choices(findings._B62, k=600)), "".join(r.choices(findings._B62, k=100))
+    cases = [
+        ("see url=https://h.example/cb?token=", token, " end"), ('{"config": "mode=fast&api_key=', token, '"}'), ("u=token=", f"{other}={token}", " end"),
+        ("u=token=", "pä$" * 300, " end"), ("u=token=", other + "$la" * 200 + "$" + other, " end"), ("a=b:" * 3000 + "token=", token, " end"),
+    ]
+    docs = spark.createDataFrame([(k, "".join(c)) for k, c in enumerate(cases)], "doc_id bigint, text string")
+    found = secrets.scan_secrets(docs, scan).collect()
+    for k, (before, secret, behind) in enumerate(cases):
+        mine = [x for x in found if x.doc_id == k]
+        text, seen = before + secret + behind, set()
+        for x in mine:
+            assert x.finding == text[x.start : x.start + x.length]
+            seen |= set(range(x.start, x.start + x.length))
+        assert seen >= set(range(len(before), len(before + secret))), k
+        assert sum(x.length for x in mine) <= 4 * len(text)
+
+
 def test_many_url_rules_in_small_lots(spark, monkeypatch):
     rules = [f"*/{k}/*" for k in range(0, 3000, 7)] + ["@*keep*"]
     rows = [(k, f"http://h.example/{k}/{'keep' * (k % 5 == 0)}") for k in range(200)] + [(200, ""), (201, None)]
