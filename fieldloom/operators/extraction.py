@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import json
 import time
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldloom.errors import ExtractionError, ProviderError
 from fieldloom.functions import jsonschema
+from fieldloom.functions.batches import pieces
 from fieldloom.functions.plain import parse_object, parse_objects
 from fieldloom.functions.text import EDGES, attempt_confidence, document_label
 from fieldloom.operators.chunking import chunk_fixed, effective_chunk_size
 from fieldloom.operators.checkpoint import cut
-from fieldloom.operators.provenance import find_loosely, merge_field_spans
+from fieldloom.operators.provenance import find_loosely
 from fieldloom.operators.usage import estimate_extraction_cost
 from fieldloom.operators.records import dedup_records, parse_record, without_nulls
 from fieldloom.providers import LLMClient, in_flight
@@ -132,9 +135,9 @@ class LLMDirectExtraction:
 
     def replies(self, docs: DataFrame, schema: dict) -> DataFrame:
         """A row for each record, or for each chunk that failed; calls and their tokens are columns."""
-        return self.chunks(docs).mapInPandas(self._caller(schema), REPLIES)
+        return self.chunks(docs).mapInArrow(self._caller(schema), REPLIES)
 
-    def _caller(self, schema: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def _caller(self, schema: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         struct, need = jsonschema.to_struct(schema), jsonschema.required(schema)
         asked = self.asked(schema)
         text, client, multi, hint, tries, sources, at_once = json.dumps(asked), self.client, self.multi_record, self.record_hint, self.max_retries + 1, self.provenance, self.concurrency
@@ -150,7 +153,7 @@ class LLMDirectExtraction:
             return {f.name: lax(values.get(f.name), f.dataType) for f in struct.fields}, quotes
 
         def one(c: Any) -> list[tuple]:
-            head = (None if pd.isna(c.doc_ord) else int(c.doc_ord), c.doc_id, c.source, c.chunk_id, None if pd.isna(c.chunk_index) else int(c.chunk_index), None if pd.isna(c.char_start) else int(c.char_start), None if pd.isna(c.char_end) else int(c.char_end))
+            head = (c.doc_ord, c.doc_id, c.source, c.chunk_id, c.chunk_index, c.char_start, c.char_end)
             messages = [{"role": "user", "content": prompt(text, c.content, hint)}]
             tokens_in = tokens_out = calls = 0
             spent, model, said, kind = 0.0, None, "", ""
@@ -181,20 +184,20 @@ class LLMDirectExtraction:
                 return rows
             return [(*head, 0, None, tries - 1, None, tokens_in, tokens_out, spent, calls, model, kind, said)]
 
-        names = [
-            "doc_ord", "doc_id", "source", "chunk_id", "chunk_index", "char_start", "char_end", "record_ord", "record", "attempt", "field_spans",
-            "input_tokens", "output_tokens", "latency_ms", "calls", "model", "error_type", "error",
-        ]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [r for made in in_flight(one, list(pdf.itertuples(index=False)), at_once) for r in made]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_ord"] = out["doc_ord"].astype("Int64")
-                for k in ("chunk_index", "char_start", "char_end", "record_ord", "attempt", "calls"):
-                    out[k] = out[k].astype("Int32")
-                out["field_spans"] = [None if not isinstance(s, dict) else {f: [dict(zip(SPAN.names, x)) for x in v] for f, v in s.items()} for s in out["field_spans"]]
-                yield out
+        kinds = to_arrow_schema(T.StructType.fromDDL(REPLIES))
+        spans = T.StructType.fromDDL(REPLIES).fieldNames().index("field_spans")
+
+        def told(row: tuple) -> tuple:
+            found = row[spans]
+            return row if found is None else (*row[:spans], {f: [dict(zip(SPAN.names, x)) for x in v] for f, v in found.items()}, *row[spans + 1 :])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A piece of a batch at a time: a document may become many records, each with its evidence."""
+            for batch in batches:
+                chunk = namedtuple("Chunk", batch.schema.names)
+                for some in pieces(batch, "content"):
+                    rows = [told(r) for made in in_flight(one, [chunk(*x) for x in zip(*(c.to_pylist() for c in some.columns))], at_once) for r in made]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
         return run
 
@@ -223,7 +226,7 @@ class LLMDirectExtraction:
         ordered = out.where("error IS NULL").withColumn("__ord", F.struct(F.coalesce("doc_ord", F.lit(-1)), F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_index", F.lit(0)), "record_ord"))
         if self.provenance:
             spans = ordered.withColumn("__spans", F.col("provenance.field_spans"))
-            first = dedup_records(spans, ["record"], "__ord", "__spans", merge_field_spans)
+            first = dedup_records(spans, ["record"], "__ord", "__spans")
             first = first.withColumn("provenance", F.col("provenance").withField("field_spans", F.col("__spans"))).drop("__spans")
         else:
             first = dedup_records(ordered, ["record"], "__ord")

@@ -293,3 +293,13 @@ def test_http_client_retries(monkeypatch):
 def test_distinct_texts_are_embedded_once(spark):
     rows = embed_distinct(spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "text string"), HashEmbeddings(8)).collect()
     assert sorted(r.text for r in rows) == ["a", "b"] and all(len(r.embedding) == 8 for r in rows)
+
+
+def test_evidence_of_many_equal_records_is_merged_in_linear_time(spark):
+    span = F.struct(F.lit("q").alias("quote"), (F.col("ord") % 4000).cast("string").alias("document_id"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("exact").alias("confidence"))
+    twice = F.when(F.col("ord") == 0, F.array(span, span)).otherwise(F.array(span))
+    df = spark.range(8000).select(F.col("id").alias("ord"), F.lit("same").alias("t"), F.create_map(F.lit("x"), twice).alias("spans"))
+    out = records.dedup_records(df, ["t"], "ord", "spans")
+    assert "array_contains" not in out._jdf.queryExecution().toString()
+    (row,) = out.collect()
+    assert row.ord == 0 and [int(s.document_id) for s in row.spans["x"]] == [0, *range(4000)]
