@@ -47,7 +47,7 @@ def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays become JSON; texts with line breaks and quotes come back as they were."""
     path = _folder(spark)
     sinks.to_csv(_texts(spark, sf_dir), path)
-    back = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    back = sinks.read_csv(spark, path)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"), "labels")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +16,14 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def to_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Texts as they are, blanks at their ends too; a null is nothing, an empty text a pair of quotes."""
     out = flat(df)
-    (out.coalesce(1) if single_file else out).write.mode("overwrite").csv(path, header=True, escape='"')
+    (out.coalesce(1) if single_file else out).write.mode("overwrite").csv(path, header=True, escape='"', charToEscapeQuoteEscaping='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``to_csv`` wrote, as text columns. A null is known by a name that no text has, so that empty texts stay."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex, emptyValue="")
 
 
 def to_parquet(df: DataFrame, path: str) -> None:

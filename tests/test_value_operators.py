@@ -389,3 +389,10 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("value string").parquet(f"{tmp_path}/v")
     incremental.normalize_stream(stream, D({"a": "A"}), "f", cache, f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination(120)
     assert as_dict(spark.read.parquet(f"{tmp_path}/out")) == {"a": "A", "b": "b"} and as_dict(cache.load_all(spark)) == {"a": "A"}
+
+
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    texts = ["", None, " a", "a ", "\t", "\n", "a\r\nb", "\r", '"\n', '"', 'a\\"b', "\0", 'x\0"', "null", "a,b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    sinks.to_csv(df, f"{tmp_path}/odd")
+    assert [r.t for r in sorted(sinks.read_csv(spark, f"{tmp_path}/odd").collect(), key=lambda r: int(r.k))] == texts
