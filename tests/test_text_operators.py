@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldloom.errors import BudgetExceededError, DiscoveryError, ExtractionError, ProviderError, SchemaError
-from fieldloom.functions import jsonschema, plain, text
+from fieldloom.functions import batches, jsonschema, plain, text
 from fieldloom.operators import chunking, extraction, provenance, records, usage
 from fieldloom.providers import CannedClient, HashEmbeddings, HttpClient, RuleClient, complete_rows, embed_column, embed_distinct, resolve_provider
 from fieldloom.schemas import DOCUMENTS
@@ -303,3 +304,10 @@ def test_evidence_of_many_equal_records_is_merged_in_linear_time(spark):
     assert "array_contains" not in out._jdf.queryExecution().toString()
     (row,) = out.collect()
     assert row.ord == 0 and [int(s.document_id) for s in row.spans["x"]] == [0, *range(4000)]
+
+
+def test_documents_become_objects_piece_by_piece():
+    batch = pa.RecordBatch.from_pydict({"content": ["a" * n for n in (10, batches.PIECE_BYTES * 2, 10, 10)] + [None], "n": range(5)})
+    made = list(batches.pieces(batch, "content"))
+    assert [x for b in made for x in b.column("n").to_pylist()] == [0, 1, 2, 3, 4] and len(made) > 1
+    assert not list(batches.pieces(batch.slice(0, 0), "content"))
