@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.errors import NormalizationError
+from fieldloom.functions.batches import loaded, matrix, one_batch
 from fieldloom.functions.plain import strip_fences
 from fieldloom.functions.vectors import cosine, doubles
 from fieldloom.operators.checkpoint import cut, versions
@@ -21,6 +23,8 @@ from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct, in_f
 INDEX_BYTES = 64 << 20
 #: Index texts up to which the search by expressions takes them along as a list.
 LISTED = 2000
+#: Index texts whose products with some queries a task holds at a time.
+TILE = 4096
 AUGMENT_BELOW = 0.95
 
 
@@ -108,41 +112,70 @@ def _lengths(rows: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1, n)
 
 
+def _nearest(q: np.ndarray, m: np.ndarray, keep: int, best: tuple[np.ndarray, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` best of ``best`` (scores, places) and of the products with ``m``, whose places count from ``first``; ties go to the lower place."""
+    for a in range(0, len(m), TILE):
+        s = q @ m[a : a + TILE].T
+        scores, places = best
+        have = scores.shape[1]
+        if have >= keep:  # later ones that tie with the last of the best come behind it
+            floor = scores[:, -1] + 4e-13
+        else:
+            floor = np.partition(s, -keep, axis=1)[:, -keep] - 2e-12 if s.shape[1] > keep else np.full(len(s), -np.inf)
+            floor = np.where(np.isnan(floor), -np.inf, floor) if have == 0 else np.full(len(s), -np.inf)
+        row, col = np.nonzero(s > floor[:, None])
+        if not len(row):
+            continue
+        # Equal vectors tie, whatever the order of additions.
+        row, score, place = np.concatenate([np.repeat(np.arange(len(q)), have), row]), np.concatenate([scores.ravel(), np.round(s[row, col], 12)]), np.concatenate([places.ravel(), first + a + col])
+        order = np.lexsort((place, -score, row))
+        row, score, place = row[order], score[order], place[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        width = min(keep, int(nth.max()) + 1)
+        best = np.full((len(q), width), -np.inf), np.full((len(q), width), -1, dtype=np.int64)
+        top = nth < width
+        best[0][row[top], nth[top]], best[1][row[top], nth[top]] = score[top], place[top]
+    return best
+
+
 def search_matrix(queries: DataFrame, index: DataFrame, top_k: int = 5) -> DataFrame:
     """As ``search``, as matrix products in Arrow batches against parts of the index of about ``INDEX_BYTES``, names and all.
 
-    The index is read once for each part, and once for its size: give it as a table, or cut.
+    Parts are broadcasts: a task goes through them one after another with a batch of queries, a tile of
+    products at a time, and gives the best texts of each query. The index is read once for each part,
+    and once for its size: give it as a table, or cut.
     """
-    size = F.coalesce(F.sum(8 * F.size("embedding") + F.length("id") + F.coalesce(F.length("name"), F.lit(0)) + 16), F.lit(0))
+    size = F.coalesce(F.sum(8 * F.size("embedding") + F.coalesce(F.length("id"), F.lit(0)) + F.coalesce(F.length("name"), F.lit(0)) + 16), F.lit(0))
     total = index.agg(size).first()[0]
+    spark = queries.sparkSession
     if not total:
-        return queries.sparkSession.createDataFrame([], "value string, id string, name string, score double, rank int")
+        return spark.createDataFrame([], "value string, id string, name string, score double, rank int")
     parts = -(-total // INDEX_BYTES)
-    found = None
+    kept, texts = [], [F.col("id").cast("string").alias("id"), F.col("name").cast("string").alias("name"), F.col("text_ord").cast("int").alias("text_ord")]
     for p in range(parts):
-        mine = index.where(F.pmod(F.xxhash64("id", "text_ord"), F.lit(parts)) == p).orderBy("id", "text_ord").select("id", "name", "text_ord", "embedding").toPandas()
-        if not len(mine):
-            continue
-        m = np.asarray(mine.embedding.tolist(), dtype=np.float64)
-        m /= _lengths(m)
-        ids, names, ords = mine.id.tolist(), mine.name.tolist(), mine.text_ord.tolist()
-
-        def run(batches: Iterator[pd.DataFrame], m=m, ids=ids, names=names, ords=ords) -> Iterator[pd.DataFrame]:
-            keep = min(3 * top_k, len(ids))
-            for pdf in batches:
-                for a in range(0, len(pdf), 256):
-                    some = pdf.iloc[a : a + 256]
-                    q = np.asarray(some.embedding.tolist(), dtype=np.float64)
-                    q /= _lengths(q)
-                    s = np.round(q @ m.T, 12)  # equal vectors tie, whatever the order of additions
-                    # Ties at the edge are settled by index order, so the cut keeps all of them.
-                    edge = np.partition(s, -keep, axis=1)[:, -keep] if keep < len(ids) else s.min(axis=1)
-                    rows = [(v, ids[j], names[j], ords[j], float(s[i, j])) for i, v in enumerate(some.value) for j in np.flatnonzero(s[i] >= edge[i])]
-                    yield pd.DataFrame(rows, columns=["value", "id", "name", "text_ord", "score"])
-
-        one = queries.select("value", "embedding").mapInPandas(run, "value string, id string, name string, text_ord int, score double")
-        found = one if found is None else found.unionByName(one)
-    return _best(found, top_k)
+        mine = index.where(F.pmod(F.xxhash64("id", "text_ord"), F.lit(parts)) == p).orderBy("id", "text_ord").select(*texts, doubles(F.col("embedding")).alias("embedding")).toArrow()
+        if mine.num_rows:
+            mine = one_batch(mine)
+            m = matrix(mine.column("embedding"))
+            kept.append(spark.sparkContext.broadcast((m / _lengths(m), mine.select(["id", "name", "text_ord"]))))
+    keep = 3 * top_k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = matrix(batch.column("embedding"))
+            q /= _lengths(q)
+            for part in kept if len(q) else ():
+                m, told = loaded(part)
+                for a in range(0, len(q), 256):
+                    none = np.empty((len(q[a : a + 256]), 0)), np.empty((len(q[a : a + 256]), 0), dtype=np.int64)
+                    scores, places = _nearest(q[a : a + 256], m, keep, none, 0)
+                    row, nth = np.nonzero(places >= 0)
+                    found = told.take(pa.array(places[row, nth]))
+                    yield pa.RecordBatch.from_arrays([batch.column("value").take(pa.array(a + row)), *found.columns, pa.array(scores[row, nth])], ["value", "id", "name", "text_ord", "score"])
+
+    # Each query meets the whole index, so a few of them are a task's work.
+    spread = queries.select(F.col("value").cast("string").alias("value"), "embedding").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return _best(spread.mapInArrow(run, "value string, id string, name string, text_ord int, score double"), top_k)
 
 
 def merge_candidates(a: DataFrame, b: DataFrame, top_k: int) -> DataFrame:

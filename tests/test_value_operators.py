@@ -396,3 +396,15 @@ def test_csv_keeps_texts_as_they_are(spark, tmp_path):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     sinks.to_csv(df, f"{tmp_path}/odd")
     assert [r.t for r in sorted(sinks.read_csv(spark, f"{tmp_path}/odd").collect(), key=lambda r: int(r.k))] == texts
+
+
+def test_a_few_products_are_held_at_a_time_and_ties_go_to_the_first_text(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.normal(size=(40, 4)), 5, axis=0)
+    q = rng.normal(size=(7, 4))
+    whole = np.round(q @ m.T, 12)
+    want = [sorted(range(200), key=lambda j: (-w[j], j))[:9] for w in whole]
+    for tile in (3, 7, 64, 4096):
+        monkeypatch.setattr(ontology, "TILE", tile)
+        scores, places = ontology._nearest(q, m, 9, (np.empty((7, 0)), np.empty((7, 0), dtype=np.int64)), 0)
+        assert places.tolist() == want and np.allclose(scores, np.take_along_axis(whole, places, 1))
