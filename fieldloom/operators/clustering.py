@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.errors import NormalizationError
+from fieldloom.functions.batches import loaded, matrix, one_batch
 from fieldloom.functions.vectors import doubles, squared_distance
 from fieldloom.operators.checkpoint import cut
 from fieldloom.operators.mapping import frequencies
@@ -22,6 +23,8 @@ from fieldloom.providers import EmbeddingClient, LLMClient, embed_distinct
 LARGEST = 8000
 #: Bytes of points that all others are compared with at a time.
 BLOCK_BYTES = 16 << 20
+#: Sums, of a point and a cluster, that a task holds.
+SUMS = 4 << 20
 
 
 def mode_canonical(members: DataFrame) -> DataFrame:
@@ -55,54 +58,77 @@ def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame) -> DataFrame:
     """``(id, silhouette)`` for ``points(id, v, k)`` by Euclidean distance; a cluster of one point scores 0.
 
-    All points meet blocks of all points, as matrix products: a block of about ``BLOCK_BYTES`` at a
-    time goes to the tasks, and what comes of it is a sum for each point and cluster. Neither vectors
-    nor distances are shuffled, and no task holds more than a block.
+    All points meet blocks of all points, as matrix products. Blocks of about ``BLOCK_BYTES``, ordered by
+    cluster, are broadcasts: a task goes through them one after another with some of the points and keeps
+    a sum for each of these and each cluster. Neither vectors, distances nor sums are shuffled, and no
+    task holds more than a block, a tile of distances and ``SUMS`` sums.
     """
     kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    spark = points.sparkSession
     mine = cut(points.select("id", "k", doubles(F.col("v")).alias("v")))
-    size = mine.agg(F.sum(8 * F.size("v") + 32)).first()[0] or 0
-    blocks, parts = max(1, -(-int(size) // BLOCK_BYTES)), None
+    clustered = mine.where("k IS NOT NULL")  # points without a cluster score 0
+    size = clustered.agg(F.sum(8 * F.size("v") + 32)).first()[0] or 0
+    blocks, kept, place, counts = max(1, -(-int(size) // BLOCK_BYTES)), [], {}, []
     for b in range(blocks):
-        block = mine.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("k", "v").toArrow()  # about BLOCK_BYTES
+        block = clustered.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("k", "v").toArrow()  # about BLOCK_BYTES
         if not block.num_rows:
             continue
-        y = np.array(block.column("v").to_pylist(), dtype=np.float64)
-        clusters = block.column("k").to_pylist()
-        names = list(dict.fromkeys(clusters))
-        place = {c: i for i, c in enumerate(names)}
-        member = np.zeros((len(clusters), len(names)))
-        member[np.arange(len(clusters)), [place[c] for c in clusters]] = 1
-
-        def run(batches: Iterator[pa.RecordBatch], y=y, member=member, names=names) -> Iterator[pa.RecordBatch]:
-            squares, counts = (y**2).sum(1)[None, :], member.sum(0)
-            step = max(1, (4 << 20) // len(y))  # distances that a task holds at a time
-            for batch in batches:
-                for lo in range(0, batch.num_rows, step):
-                    some = batch.slice(lo, step)
-                    x = np.array(some.column("v").to_pylist(), dtype=np.float64)
-                    both = (x**2).sum(1)[:, None] + squares
-                    d = both - 2 * x @ y.T
-                    d = np.sqrt(np.where(d < 1e-12 * both, 0, d))  # a point and itself, or its like, are at no distance
-                    n = len(x)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.concat_arrays([some.column("id")] * len(names)), pa.concat_arrays([some.column("k")] * len(names)),
-                            pa.array([c for c in names for _ in range(n)], some.column("k").type), pa.array((d @ member).T.ravel()), pa.array(np.repeat(counts, n)),
-                        ],
-                        ["id", "k", "k2", "s", "n"],
-                    )
-
-        one = mine.mapInArrow(run, f"id {kind['id']}, k {kind['k']}, k2 {kind['k']}, s double, n double")
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return mine.select("id", F.lit(0.0).alias("silhouette"))
-    sums = parts.groupBy("id", "k", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    others = F.when(F.col("k") == F.col("k2"), F.col("n") - 1).otherwise(F.col("n"))
-    means = sums.withColumn("m", F.when(others > 0, F.col("s") / others))
-    both = means.groupBy("id").agg(F.max(F.when(F.col("k") == F.col("k2"), F.col("m"))).alias("a"), F.min(F.when(F.col("k") != F.col("k2"), F.col("m"))).alias("b"))
-    s = (F.col("b") - F.col("a")) / F.greatest("a", "b")
-    return both.select("id", F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.when(F.greatest("a", "b") == 0, 0.0).otherwise(s)), F.lit(0.0)).alias("silhouette"))
+        block = one_batch(block)
+        code = np.array([place.setdefault(c, len(place)) for c in block.column("k").to_pylist()])
+        order = np.argsort(code, kind="stable")
+        kept.append(spark.sparkContext.broadcast((matrix(block.column("v"))[order], code[order])))
+        counts += [0] * (len(place) - len(counts))
+        for c, n in zip(*np.unique(code, return_counts=True)):
+            counts[c] += int(n)
+    clusters = spark.sparkContext.broadcast((place, np.array(counts, dtype=np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n = clusters.value
+        step = max(1, min(4096, SUMS // max(1, len(n))))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                own = np.array([place.get(c, -1) for c in some.column("k").to_pylist()])
+                x = matrix(some.column("v"))
+                sums = np.zeros((len(x), len(n)))
+                for block in kept if (own >= 0).any() else ():
+                    _add_distances(sums, x, *loaded(block))
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(_scores(sums, own, n))], ["id", "silhouette"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return mine.repartition(tasks).mapInArrow(run, f"id {kind['id']}, silhouette double")  # each point meets all, so a few of them are a task's work
+
+
+def _add_distances(sums: np.ndarray, x: np.ndarray, y: np.ndarray, code: np.ndarray) -> None:
+    """Adds the distances of ``x`` to ``y`` to their sums by cluster, a tile that a processor's cache holds at a time."""
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    left, right = np.column_stack([-2 * x, xx, np.ones(len(x))]), np.column_stack([y, np.ones(len(y)), yy])  # squares come with the products
+    for c in range(0, len(y), 1024):
+        starts = np.flatnonzero(np.diff(code[c : c + 1024], prepend=-1))
+        names = code[c : c + 1024][starts]
+        tile, squares = right[c : c + 1024].T.copy(), yy[c : c + 1024]
+        for r in range(0, len(x), 128):
+            d = left[r : r + 128] @ tile
+            here = xx[r : r + 128]
+            for i in np.flatnonzero(d.min(axis=1) < 1e-12 * (here + squares.max())):
+                d[i][d[i] < 1e-12 * (here[i] + squares)] = 0  # a point and itself, or its like, are at no distance
+            np.sqrt(d, out=d)
+            sums[r : r + 128, names] += np.add.reduceat(d, starts, axis=1)
+
+
+def _scores(sums: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Silhouettes from the sums of distances to each cluster's points, and these points' number."""
+    if len(counts) < 2:
+        return np.zeros(len(sums))
+    rows = np.arange(len(sums))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = sums[rows, own] / (counts[own] - 1)
+        means = sums / counts
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        most = np.maximum(a, b)
+        s = np.where(most == 0, 0.0, (b - a) / most)
+    return np.where((own < 0) | (counts[own] < 2), 0.0, s)
 
 
 def kmeans_pp(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:

@@ -408,3 +408,10 @@ def test_a_few_products_are_held_at_a_time_and_ties_go_to_the_first_text(spark,
         monkeypatch.setattr(ontology, "TILE", tile)
         scores, places = ontology._nearest(q, m, 9, (np.empty((7, 0)), np.empty((7, 0), dtype=np.int64)), 0)
         assert places.tolist() == want and np.allclose(scores, np.take_along_axis(whole, places, 1))
+
+
+def test_silhouettes_shuffle_no_sums(spark):
+    pts = spark.createDataFrame([(0, 0, [0.0]), (1, 0, [0.0]), (2, 1, [4.0]), (3, None, [1.0]), (4, 1, [4.0])], "id int, k int, v array<double>")
+    out = clustering.silhouette(pts)
+    assert "HashAggregate" not in out._jdf.queryExecution().toString()
+    assert as_dict(out, "id", "silhouette") == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0}
