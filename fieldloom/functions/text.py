@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +11,13 @@ from pyspark.sql import types as T
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 #: What Python's str.split and str.strip call blank.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same as characters.
+BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 EDGES = " \t\n\r" + "-–—" + "".join(chr(c) for c in range(33, 127) if chr(c) in "!'(),.:;<>?[]`{}" or c == 34)
 
 
 def strip_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -67,11 +67,10 @@ def document_label(source: Column, doc_id: Column) -> Column:
     return or_default(source, or_default(doc_id, "unknown"))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode compatibility composition, which Spark has no function for."""
-    for s in batches:
-        yield s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+@F.udf(T.StringType(), useArrow=False)
+def nfkc(value: str | None) -> str | None:
+    """Unicode compatibility composition, which Spark has no function for; some rows at a time go to Python, so long texts don't pile up."""
+    return value if value is None or value.isascii() else unicodedata.normalize("NFKC", value)
 
 
 def folded(c: Column, ascii_only: bool = False) -> Column:
