@@ -311,3 +311,22 @@ def test_documents_become_objects_piece_by_piece():
     made = list(batches.pieces(batch, "content"))
     assert [x for b in made for x in b.column("n").to_pylist()] == [0, 1, 2, 3, 4] and len(made) > 1
     assert not list(batches.pieces(batch.slice(0, 0), "content"))
+
+
+def test_loose_search_traces_only_found_places(monkeypatch):
+    body = "Ⅷ  ﬁne\t" + "x y " * 50
+    folded, places = provenance.fold_with_places(body)
+    assert folded == provenance.fold(body) and len(places) == len(folded)
+    traced = []
+    real = provenance.fold_with_places
+    monkeypatch.setattr(provenance, "fold_with_places", lambda b, most=None: traced.append(most) or real(b, most))
+    assert provenance.find_loosely("fine  x", body) == (3, 8) and provenance.find_loosely("absent", body) is None
+    assert traced == [len("viii fine x")]
+
+
+def test_long_texts_are_composed_and_trimmed_without_batches_or_patterns(spark):
+    assert "ArrowEvalPython" not in spark.range(1).select(text.folded(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().toString()
+    assert one(spark, text.folded, "ﬁ   É") == "fi é"
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    assert set(text.BLANKS) == set(blanks) and one(spark, text.strip_blank, f"{blanks}a {blanks}b{blanks}") == f"a {blanks}b"
+    assert "regexp_replace" not in spark.range(1).select(text.strip_fences(F.col("id").cast("string")))._jdf.queryExecution().toString()
